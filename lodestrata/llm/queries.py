@@ -26,6 +26,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import tokenfiles
 
@@ -39,7 +45,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_token_files": op3_token_files, "op8_bpe": op8_bpe}
+    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_token_files": op3_token_files, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
