@@ -46,6 +46,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_turns(chat.canonical(rows.union(extra)))))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), use=~toxicity.held_out())
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import quality
 
@@ -59,8 +67,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), digests=True)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(language.teaching()))
+    return language.predict(docs, model).withColumn("held_out", language.held_out())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_token_files": op3_token_files, "op5_chat_format": op5_chat_format, "op7_quality_rules": op7_quality_rules, "op8_bpe": op8_bpe}
+    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_token_files": op3_token_files, "op5_chat_format": op5_chat_format, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_bpe": op8_bpe, "op9_language": op9_language}
 
 
 def oracle_sql() -> dict[str, str]:
