@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import neighbours
+
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import chat
 
@@ -75,8 +82,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", language.held_out())
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import htmltext
+
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_token_files": op3_token_files, "op5_chat_format": op5_chat_format, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_bpe": op8_bpe, "op9_language": op9_language}
+    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_token_files": op3_token_files, "op4_neighbours": op4_neighbours, "op5_chat_format": op5_chat_format, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_bpe": op8_bpe, "op9_language": op9_language, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
