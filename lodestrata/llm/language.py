@@ -170,3 +170,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def teaching(doc_id: str = "doc_id") -> Column:
     """Rows that may be learned from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) != 0, F.lit(False))
+
+
+def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have a language with a proportion of ``least`` or more."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offs in tv.chunks(batch.column(at)):
+                share, known = infer(model, data, offs)
+                good = known & ((share.max(axis=1) if share.shape[1] else np.zeros(len(share))) >= least)
+                yield batch.slice(first, len(good)).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

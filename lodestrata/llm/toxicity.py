@@ -224,3 +224,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows whose labels are not learned from; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offs in tv.chunks(batch.column(at)):
+                p, _, _, _ = score_arrays(model, data, offs)
+                yield batch.slice(first, len(p)).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
