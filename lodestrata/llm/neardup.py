@@ -40,7 +40,7 @@ COORDINATES = 128
 BRANCH_TWO = 0.25  # a node selects two coordinates so often, else one: 1 / 0.8 on average
 MISS = 1e-6
 LEAF = 32
-LEVELS_MORE = 4
+LEVELS_MORE = 1
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 16
 BROADCAST_IDS = 300_000
