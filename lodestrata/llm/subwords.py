@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,21 +125,51 @@ def cut_plain(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.append(_bytes_at(at, place, len(data)), len(data)), np.searchsorted(at, rows), kind[at] != SPACE
 
 
+class Growing:
+    """An array that grows at its end; room is doubled when it runs out."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.size = np.zeros(1024, dtype=kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self.room):
+            room = np.zeros(max(need, 2 * len(self.room)), dtype=self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : need] = more
+        self.size = need
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class WordTable:
     """Ids (and the decoded bytes, if asked for) of distinct words, found by a 64-bit hash in an open-addressed table.
 
     It is emptied when it would hold more than ``limit`` words, so a worker's memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], spell: Callable[[list[int]], bytes] | None = None, limit: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], spell: Callable[[list[int]], bytes] | None = None, limit: int = 1_500_000) -> None:
         self.encode, self.spell, self.limit = encode, spell, limit
         self.mask = (1 << (2 * limit - 1).bit_length()) - 1
         self.clear()
 
     def clear(self) -> None:
         self.key, self.slot, self.count = np.zeros(self.mask + 1, dtype=np.uint64), np.zeros(self.mask + 1, dtype=np.int32), 0
-        self.at, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-        self.spelt_at, self.spelt = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        self._at, self._flat = Growing(np.int64), Growing(np.uint32)
+        self._spelt_at, self._spelt = Growing(np.int64), Growing(np.uint8)
+        self._at.add(np.zeros(1, dtype=np.int64))
+        self._spelt_at.add(np.zeros(1, dtype=np.int64))
+
+    @property
+    def at(self) -> np.ndarray:
+        return self._at.now
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat.now
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         place = (h & np.uint64(self.mask)).astype(np.int64)
@@ -187,18 +218,18 @@ class WordTable:
             raw = data.tobytes()
             ids = self.encode([raw[a:b] for a, b in zip(starts[lost[one]].tolist(), ends[lost[one]].tolist(), strict=True)])
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))])
+            self._at.add(self.at[-1] + np.cumsum(size))
+            self._flat.add(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())))
             if self.spell:
                 texts = [self.spell(x) for x in ids]
-                self.spelt_at = np.concatenate([self.spelt_at, self.spelt_at[-1] + np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))])
-                self.spelt = np.concatenate([self.spelt, np.frombuffer(b"".join(texts), dtype=np.uint8)])
+                self._spelt_at.add(self._spelt_at.now[-1] + np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))))
+                self._spelt.add(np.frombuffer(b"".join(texts), dtype=np.uint8))
             self._insert(new)
             out[lost] = self._find(h[lost])
         return out.astype(np.int64)
 
     def spellings(self) -> pa.Array:
-        return pa.Array.from_buffers(pa.large_binary(), len(self.spelt_at) - 1, [None, pa.py_buffer(self.spelt_at), pa.py_buffer(self.spelt)])
+        return pa.Array.from_buffers(pa.large_binary(), len(self._spelt_at.now) - 1, [None, pa.py_buffer(self._spelt_at.now), pa.py_buffer(self._spelt.now)])
 
 
 def encode_chunk(data: np.ndarray, offs: np.ndarray, cut: Callable, table: WordTable, spelt: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
