@@ -278,7 +278,7 @@ def byte_level(path: str) -> tuple:
         def encode(found: list[bytes]) -> list[list[int]]:
             return [e.ids for e in tok.encode_batch_fast([w.decode("utf-8") for w in found], add_special_tokens=False)]
 
-        _byte_level[path] = tok, WordTable(encode), added
+        _byte_level[path] = tok, WordTable(encode, limit=3_000_000), added
     return _byte_level[path]
 
 
