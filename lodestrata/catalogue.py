@@ -108,7 +108,7 @@ _add("cursor_next", lambda s, d: scan.scan(_live(s, d), "user:000020", "user:000
 
 # --- expiry, snapshots, compaction ----------------------------------------------------------------------------------------
 _add("kv_ttl_state", lambda s, d: kv.latest(kv_log(s, d)).select("key", F.when(F.col("op") == "D", "deleted").when(F.col("expires_at").isNull(), "persistent").when(F.col("expires_at") > AS_OF, "expiring").otherwise("expired").alias("state"), (F.col("expires_at") - AS_OF).alias("left_us")), f"WITH {_LOG} SELECT key, CASE WHEN x.op = 'D' THEN 'deleted' WHEN x.expires_at IS NULL THEN 'persistent' WHEN x.expires_at > {AS_OF} THEN 'expiring' ELSE 'expired' END AS state, x.expires_at - {AS_OF} AS left_us FROM (SELECT key, arg_max({{'op': op, 'expires_at': expires_at}}, seq) AS x FROM log GROUP BY key)")
-_add("kv_expiring_soon", lambda s, d: _live(s, d).where(F.col("expires_at") <= AS_OF + 3 * DAY).select("key", "expires_at"), _KV + f"SELECT key, expires_at FROM live WHERE expires_at <= {AS_OF + 3 * DAY}")
+_add("kv_expiring_soon", lambda s, d: _live(s, d).where(F.col("expires_at") <= AS_OF + 7 * DAY).select("key", "expires_at"), _KV + f"SELECT key, expires_at FROM live WHERE expires_at <= {AS_OF + 7 * DAY}")
 _add("kv_persist", lambda s, d: _live(s, d).withColumn("expires_at", F.lit(None).cast("long")).select("key", "value", "expires_at"), _KV + "SELECT key, value, CAST(NULL AS BIGINT) AS expires_at FROM live")
 _add("kv_bulk_expire", lambda s, d: _live(s, d).where(F.col("key") < "user:000050").select("key", F.lit(AS_OF + DAY).cast("long").alias("expires_at")), _KV + f"SELECT key, CAST({AS_OF + DAY} AS BIGINT) AS expires_at FROM live WHERE key < 'user:000050'")
 _add("kv_snapshot", lambda s, d: _kv(kv.live(kv.snapshot(kv_log(s, d), 5000), AS_OF)), f"WITH {_LOG}, {_live_sql('seq <= 5000')} SELECT key, value FROM live")
