@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,9 +175,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """doc_id, n_tokens, and either ids (binary, unsigned 32-bit) and decoded (string) or, with ``digests``, their
     SHA-256, computed beside them so that they need not leave the worker."""
     ship(docs.sparkSession)
+    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
+        bpe.table.begin(run_id)
         for batch in batches:
             for first, own, spelt in bpe.encode_column(batch.column(1)):
                 raw = [x.astype("<u4").tobytes() for x in own]

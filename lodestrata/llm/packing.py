@@ -12,6 +12,7 @@ are packed once for every row; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -88,6 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, i
     """One row a piece of every document; full pieces have their sequence already.  ``with_ids`` adds the ids (binary)."""
     spark = docs.sparkSession
     ship(spark)
+    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -96,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, i
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             names = batch.column(0)
-            for first, ids, at in sw.byte_level_ids(batch.column(1), tokenizer):
+            for first, ids, at in sw.byte_level_ids(batch.column(1), tokenizer, run_id):
                 n = np.diff(at) + 1
                 count = (n + size - 1) // size
                 row = np.repeat(np.arange(len(n)), count)

@@ -154,8 +154,15 @@ class WordTable:
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], spell: Callable[[list[int]], bytes] | None = None, limit: int = 1_500_000) -> None:
         self.encode, self.spell, self.limit = encode, spell, limit
         self.mask = (1 << (2 * limit - 1).bit_length()) - 1
+        self.run: str | None = None
         self.clear()
 
+    def begin(self, run: str | None) -> None:
+        """Forgets the words of another run: no run profits from what earlier ones left in a worker."""
+        if run != self.run:
+            self.run = run
+            self.clear()
+
     def clear(self) -> None:
         self.key, self.slot, self.count = np.zeros(self.mask + 1, dtype=np.uint64), np.zeros(self.mask + 1, dtype=np.int32), 0
         self._at, self._flat = Growing(np.int64), Growing(np.uint32)
@@ -278,7 +285,7 @@ def byte_level(path: str) -> tuple:
         def encode(found: list[bytes]) -> list[list[int]]:
             return [e.ids for e in tok.encode_batch_fast([w.decode("utf-8") for w in found], add_special_tokens=False)]
 
-        _byte_level[path] = tok, WordTable(encode, limit=3_000_000), added
+        _byte_level[path] = tok, WordTable(encode), added
     return _byte_level[path]
 
 
@@ -294,9 +301,18 @@ def _free_of(data: np.ndarray, offs: np.ndarray, added: list[bytes]) -> np.ndarr
     return free
 
 
-def byte_level_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ids, row bounds) for chunks of a string column, exactly as the library encodes the whole texts."""
+def largest_id(path: str, *more: int) -> int:
+    """The largest id of a vocabulary file, or of ``more``."""
+    return max(*byte_level(path)[0].get_vocab(with_added_tokens=True).values(), *more)
+
+
+def byte_level_ids(column: pa.Array, path: str, run: str | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, row bounds) for chunks of a string column, exactly as the library encodes the whole texts.
+
+    The worker's table of words lives as long as calls name the same ``run``.
+    """
     tok, table, added = byte_level(path)
+    table.begin(run)
     for first, data, offs in tv.chunks(column):
         ids, at, _, _ = encode_chunk(data, offs, cut_spaced, table)
         free = _free_of(data, offs, added)
