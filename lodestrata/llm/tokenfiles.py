@@ -1,8 +1,8 @@
 """Token files: frequency-ranked ids, byte-aligned variable-length code, control bytes apart from data bytes.
 
-Pass 1 counts ids (each task sends at most one row an id) and ranks them: the most frequent id gets rank 0.  Pass 2
-encodes each document by ranks, deals documents to shards by ranges of doc_id, and each shard's task streams them, in
-order, into one file.  A rank takes 1 to 4 bytes; 2 bits a rank in the control bytes say how many.  Reading looks the
+Pass 1 encodes every text once and writes its ids to a shared table; ids are counted there (each task sends at most one
+row an id) and ranked: the most frequent id gets rank 0.  Pass 2 codes each document by ranks, deals documents to shards
+by ranges of doc_id, and each shard's task streams them, in order, into one file.  A rank takes 1 to 4 bytes; 2 bits a rank in the control bytes say how many.  Reading looks the
 lengths of four ranks up by control byte and gathers the data with numpy.
 
 File (little endian): ``LSVB0001``, then for each document its control bytes and its data bytes, then arrays of
@@ -71,20 +71,43 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
 
 
-def count_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """id, n over the whole column ``text``."""
+def encode_texts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, n, crc, ids (binary, 16 bits an id if all ids of the vocabulary fit, else 32; the end id included)."""
+    run_id = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = sw.largest_id(tokenizer, end_id) > 0xFFFF
+        for batch in batches:
+            for first, ids, at in sw.byte_level_ids(batch.column(1), tokenizer, run_id):
+                rows = len(at) - 1
+                held, crc = [], np.zeros(rows, dtype=np.int64)
+                for r in range(rows):
+                    own = np.append(ids[at[r] : at[r + 1]], np.uint32(end_id)).astype("<u4")
+                    crc[r] = zlib.crc32(own.view(np.uint8))
+                    held.append((own if wide else own.astype("<u2")).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(np.diff(at) + 1), pa.array(crc), pa.array(held, type=pa.binary()), pa.array(np.full(rows, wide))], names=["doc_id", "n", "crc", "ids", "wide"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, crc long, ids binary, wide boolean")
+
+
+def _ids(raw: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u4" if wide else "<u2")
+
+
+def count_ids(encoded: DataFrame) -> DataFrame:
+    """id, n over the whole table of encoded texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for _, ids, _ in sw.byte_level_ids(batch.column(0), tokenizer):
-                more = np.bincount(ids, minlength=len(total))
+            for raw, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = np.bincount(_ids(raw, wide), minlength=len(total))
                 more[: len(total)] += total
                 total = more
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids", "wide").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,8 +121,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
     shards = max(1, -(-total["bytes"] // shard_bytes))
     cuts = source.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 20 * shards)).alias("c")).first()["c"] if shards > 1 else []
     bounds = np.unique(np.array(cuts or [], dtype=np.int64))
-    counts = {r["id"]: r["n"] for r in count_ids(source, tokenizer).collect()}  # as many rows as the vocabulary has ids
-    counts[end_id] = counts.get(end_id, 0) + total["rows"]
+    encoded = scratch.keep(encode_texts(source, tokenizer, end_id), "encoded")
+    counts = {end_id: 0} | {r["id"]: r["n"] for r in count_ids(encoded).collect()}  # as many rows as the vocabulary has ids
     by_rank = np.array(sorted(counts, key=lambda i: (-counts[i], i)), dtype="<u4")
     rank_of = np.zeros(int(by_rank.max()) + 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
@@ -110,18 +133,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, ids, at in sw.byte_level_ids(batch.column(1), tokenizer):
-                rows = len(at) - 1
-                names = batch.column(0).slice(first, rows)
-                shard = np.where(names.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, names.fill_null(0).to_numpy(), side="right"))
-                control, data, crc = [], [], np.zeros(rows, dtype=np.int64)
-                for r in range(rows):
-                    own = np.append(ids[at[r] : at[r + 1]], np.uint32(end_id)).astype("<u4")
-                    crc[r] = zlib.crc32(own.view(np.uint8))
-                    c, d = encode(rank_of[own])
-                    control.append(c)
-                    data.append(d)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), names, pa.array(np.diff(at) + 1), pa.array(crc), pa.array(control, type=pa.binary()), pa.array(data, type=pa.binary())], names=["shard", "doc_id", "n", "crc", "control", "data"])
+            names = batch.column(0)
+            shard = np.where(names.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, names.fill_null(0).to_numpy(), side="right"))
+            control, data = [], []
+            for raw, wide in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                c, d = encode(rank_of[_ids(raw, wide)])
+                control.append(c)
+                data.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), names, batch.column(1), batch.column(2), pa.array(control, type=pa.binary()), pa.array(data, type=pa.binary())], names=["shard", "doc_id", "n", "crc", "control", "data"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base, out, shard = *open_folder(folder), None, 0
@@ -150,9 +169,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard], type=pa.int32()), pa.array([path]), pa.array([len(count)], type=pa.int64()), pa.array([int(count.sum())], type=pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
-    coded = source.mapInArrow(run, "shard int, doc_id long, n long, crc long, control binary, data binary")
+    coded = encoded.mapInArrow(run, "shard int, doc_id long, n long, crc long, control binary, data binary")
     dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
     manifest = scratch.keep(dealt.mapInArrow(put, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    scratch.drop("encoded")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("folder", F.lit(folder))
 
