@@ -26,9 +26,11 @@ from pyspark.sql.window import Window
 
 from lodestrata.llm import subwords as sw
 from lodestrata.llm import textvec as tv
-from lodestrata.llm.runtime import ship
+from lodestrata.llm.runtime import Scratch, ship
 
 SAMPLE, BITS, STEPS, MOST = 1000, 14, 10, 3
+#: Ranges of the hash by which rows are counted: 2 to this power.
+RANGE_BITS = 14
 #: Nats that a further language must gain, times the logarithm of the number of trigrams (which overlap threefold).
 PENALTY = 6.0
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -70,11 +72,28 @@ def letters(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return seen[at[1:]] > seen[at[:-1]]
 
 
+def choose(labelled: DataFrame, sample: int) -> DataFrame:
+    """(i, lang): the ``sample`` rows of each language that are first by hash, of labelled(i, lang).
+
+    A count by ranges of the hash (combined map-side) tells up to which range a language needs rows, so only those are
+    sorted: one task never gets all rows of a frequent language, nor ``sample`` rows from every other task.
+    """
+    h = F.xxhash64("i")
+    ranged = labelled.withColumn("range", F.shiftright(h, 64 - RANGE_BITS))
+    sizes = ranged.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    needed = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < sample)
+    last = needed.groupBy("lang").agg(F.max("range").alias("last"))  # one row a language, like the model
+    some = ranged.join(F.broadcast(last), "lang").where("range <= last")
+    order = Window.partitionBy("lang").orderBy(h, "i")
+    return some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("i", "lang")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from rows whose language is known; at most ``sample`` documents a language are read."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
-    ids = rows.select("i", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= sample).select("i", "lang")
+    ids = choose(Scratch(docs.sparkSession, "language").keep(rows.select("i", "lang"), "labelled"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
