@@ -3,7 +3,8 @@
 Documents become ids plus an end id; longer ones are cut so that every piece but the first is full.  A full piece is
 a sequence by itself.  The others are packed by the sum-of-squares rule: a piece goes where the sum, over residual
 gaps, of the squared number of open sequences with that gap becomes smallest.  Lengths alone decide, so only small
-rows are dealt out: groups of a documented size are packed independently, each in one bounded task; what lies in
+rows are dealt out, by their place and not by what they hold, so that repeated rows do not meet: groups of a
+documented size are packed independently, each in one bounded task; what lies in
 sequences that are not full is packed again, first within the group, then once together with all other groups'.
 
 Defined cases: a null text is empty (its only piece holds the end id); a null doc_id is kept as null; repeated rows
@@ -130,7 +131,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, gro
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    cut = scratch.keep(pieces(docs, tokenizer, size, end_id, id_col, text_col, with_ids), "pieces")
+    cut = pieces(docs, tokenizer, size, end_id, id_col, text_col, with_ids)
+    cut = scratch.keep(cut.withColumn("lot", F.monotonically_increasing_id()), "pieces")  # written: a piece keeps its lot
     whole = cut.where("sequence_id is not null").withColumn("offset", F.lit(0).cast("long"))
     part = cut.where("sequence_id is null").drop("sequence_id")
     groups = max(1, -(-part.count() // group_pieces))
@@ -144,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, gro
     schema = ", ".join(f"{n} {t}" for n, t in part.dtypes) + ", sequence_id long, offset long, full boolean"
 
     def deal(rows: DataFrame, count: int, base: int) -> DataFrame:
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(count)).cast("long") + F.lit(base)
+        key = F.pmod(F.xxhash64("lot"), F.lit(count)).cast("long") + F.lit(base)
         return rows.withColumn("g", key).groupBy("g").applyInArrow(run, schema)
 
     packed = scratch.keep(deal(part, groups, 0), "packed")
