@@ -170,6 +170,15 @@ def test_op1(spark, texts):
     assert len(by_seq) <= 1.03 * -(-sum(r["length"] for r in rows) // 1024) + 1
 
 
+def test_repeated_rows_are_dealt_to_many_groups(spark):
+    """Rows that are equal in all columns do not meet in one group."""
+    docs = spark.createDataFrame([(1, "one two three")] * 600, "doc_id long, text string")
+    rows = packing.pack(docs, P.path("byte_bpe_50k.json"), size=16, group_pieces=50).collect()
+    assert len(rows) == 600 and len({r["sequence_id"] >> 32 for r in rows}) > 3
+    places = Counter((r["sequence_id"], r["offset"]) for r in rows)
+    assert max(places.values()) == 1 and max(r["offset"] + r["length"] for r in rows) <= 16
+
+
 def test_packing_in_groups_and_odd_rows(spark, texts, odd):
     path, t = P.path("byte_bpe_50k.json"), library("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -294,6 +303,23 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and all(got[x] == 200 for x in range(200, 240))
 
 
+def test_components_with_salted_hubs(spark, monkeypatch):
+    """Every node of more than two rows is a hub; the same classes as by following all edges."""
+    monkeypatch.setattr(components, "LEAST_HUB", 2)
+    monkeypatch.setattr(components, "HUBS", 10**6)
+    rng = random.Random(14)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(500, x) for x in range(501, 700)] + [(699, 400)]
+    root = list(range(701))
+    for _ in range(701):
+        now = root.copy()
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if now == root:
+            break
+    out = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "h")
+    assert {r["v"]: r["root"] for r in out.collect()} == {x: root[x] for e in edges if e[0] != e[1] for x in e}
+
+
 # --- neighbours -----------------------------------------------------------------------------------------------------------
 
 
@@ -457,6 +483,20 @@ def test_decision_list_learns_a_conjunction(spark):
     assert all(r["kept"] == (r["doc_id"] % 4 != 0) for r in out)
 
 
+def test_language_sample_is_first_by_hash(spark, monkeypatch):
+    """The chosen rows are each language's first by hash, whether it has fewer than the sample, more, or repeated ids."""
+    rows = [(i, "a") for i in range(900)] + [(i, "b") for i in range(30)] + [(5, "c")] * 70 + [(None, "c")]
+    df = spark.createDataFrame(rows, "i long, lang string").withColumn("h", F.xxhash64("i"))
+    want = Counter()
+    for x in "abc":
+        mine = sorted((r["h"], r["i"] if r["i"] is not None else -1) for r in df.where(F.col("lang") == x).collect())
+        want.update((x, i) for _, i in mine[:50])
+    for bits in (1, 6, 14):
+        monkeypatch.setattr(language, "RANGE_BITS", bits)
+        got = Counter((r["lang"], r["i"] if r["i"] is not None else -1) for r in language.choose(df.select("i", "lang"), 50).collect())
+        assert got == want
+
+
 def test_op9_held_out(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op9_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -499,6 +539,21 @@ def test_pages_with_boilerplate(spark):
     assert got == [(1, want), (1, want), (2, want), (3, ""), (4, ""), (5, "lone <b>")]
 
 
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_sql_twins(spark, name):
+    """The rows of each SQL twin, on the small tables."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    df = queries.queries()[name](spark, DATA)
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(df.columns) == sorted(names)
+    want = sorted(cur.fetchall(), key=repr)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == want and want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     held, before = docs, docs.count()
