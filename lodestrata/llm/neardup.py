@@ -269,11 +269,13 @@ def candidates(reps: DataFrame, scratch: Scratch, percent: int, count: int) -> D
 # --- exact classes of clusters --------------------------------------------------------------------------------------
 
 
-def exact_classes(values: np.ndarray, at: np.ndarray, percent: int, known: np.ndarray | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+def exact_classes(values: np.ndarray, at: np.ndarray, percent: int, known: np.ndarray | None = None, rows: np.ndarray | None = None, top: int | None = None) -> np.ndarray:
     """A class number for each set: linked sets (intersection * 100 >= percent * union) are in one class.
 
     ``known`` gives classes that are already found.  Sets outside the largest class are compared with all, one after
-    the other, by counting the postings of their shingles; with ``rows`` only those sets are.
+    the other, by counting the postings of their shingles.  With ``rows`` only those sets are, whatever the size of
+    their class, as the others do not ask here; but for those that have joined the class of set ``top``, to which
+    every set of another class comes with its own question.
     """
     m = len(at) - 1
     n = np.diff(at)
@@ -291,7 +293,11 @@ def exact_classes(values: np.ndarray, at: np.ndarray, percent: int, known: np.nd
         done[rows] = False
     while True:
         size = np.bincount(label, minlength=m)
-        open_ = np.flatnonzero(~done & (label != size.argmax())) if size.max() > 1 else np.flatnonzero(~done)
+        if rows is not None:
+            settled = -1 if top is None else label[top]
+        else:
+            settled = size.argmax() if size.max() > 1 else -1
+        open_ = np.flatnonzero(~done & (label != settled))
         if not len(open_) or size.max() == m:
             return label
         i = int(open_[0])
@@ -309,7 +315,7 @@ def exact_classes(values: np.ndarray, at: np.ndarray, percent: int, known: np.nd
 
 
 def _blocks(percent: int):
-    """Rows (g, v, label, row, values) sorted by g -> links (a, b) that join the classes of each group g."""
+    """Rows (g, v, label, row, top, values) sorted by g -> links (a, b) that join the classes of each group g."""
 
     def classes(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
@@ -324,7 +330,8 @@ def _blocks(percent: int):
         data, offs = tv.buffers(raw)
         values = np.frombuffer(data.tobytes(), dtype="<u8")
         row = np.flatnonzero(t.column("row").to_numpy(zero_copy_only=False))
-        label = exact_classes(values, offs // 8, percent, t.column("label").to_numpy(), None if len(row) == len(v) else row)
+        top = np.flatnonzero(t.column("top").to_numpy(zero_copy_only=False))
+        label = exact_classes(values, offs // 8, percent, t.column("label").to_numpy(), None if len(row) == len(v) else row, int(top[0]) if len(top) else None)
         first = np.full(label.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, label, v)
         link = first[label] != v
@@ -390,13 +397,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = _full_sets(source, member, words, few)
 
     def meet(rows: DataFrame) -> DataFrame:
-        return rows.select("g", "v", "label", "row", "values").repartition("g").sortWithinPartitions("g", "v").mapInArrow(_blocks(percent), "a long, b long")
+        return rows.select("g", "v", "label", "row", "top", "values").repartition("g").sortWithinPartitions("g", "v").mapInArrow(_blocks(percent), "a long, b long")
 
-    single = member.where("blocks <= 1").select("v", F.col("root").alias("g"), F.col("v").alias("label"), F.lit(True).alias("row"))
+    single = member.where("blocks <= 1").select("v", F.col("root").alias("g"), F.col("v").alias("label"), F.lit(True).alias("row"), F.lit(False).alias("top"))
     links = meet(single.join(full, "v"))
     large = member.where("blocks > 1")
     if not large.isEmpty():
-        links = links.union(_large_clusters(large, full, scratch, meet))
+        links = links.union(_large_clusters(large, full, scratch, meet, block_shingles))
     found = components(scratch.keep(links, "links"), scratch, "class").where("v <> root")
     ids = groups.join(found, "v", "left").select("digest", F.coalesce("root", "v").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("digest")).alias("digest")).join(ids, "digest", "left")
@@ -404,24 +411,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _large_clusters(large: DataFrame, full: DataFrame, scratch: Scratch, meet) -> DataFrame:
+def _large_clusters(large: DataFrame, full: DataFrame, scratch: Scratch, meet, block_shingles: int) -> DataFrame:
     """Links of clusters whose sets do not fit one task.  Two rounds over blocks of bounded size."""
     base = large.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     pivots = large.groupBy("root", "blocks").agg(F.array_distinct(F.array(*[F.min_by("v", F.xxhash64("v", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
     pivot = pivots.select("root", "blocks", F.explode("p").alias("v")).select("root", "v", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     both = base.select("root", "v", "block").union(pivot).distinct()
     key = F.xxhash64("root", "block")
-    one = scratch.keep(meet(both.select("v", key.alias("g"), F.col("v").alias("label"), F.lit(True).alias("row")).join(full, "v")), "large1")
+    one = scratch.keep(meet(both.select("v", key.alias("g"), F.col("v").alias("label"), F.lit(True).alias("row"), F.lit(False).alias("top")).join(full, "v")), "large1")
     class_ = components(one, scratch, "largec")
     now = base.join(class_.withColumnRenamed("root", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
     now = scratch.keep(now, "large2")
     size = now.groupBy("root", "label").agg(F.count(F.lit(1)).alias("c"))
     top = size.groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
     rest = now.join(top, "root").where("label <> top")
-    lots = rest.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("lots"))
+    lots = rest.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("lots"))
     lot = rest.join(lots, "root").withColumn("lot", F.pmod(F.xxhash64("v", F.lit(7)), F.col("lots")).cast("int"))
-    asking = lot.select("root", "v", "label", "lot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("row"))
-    asked = now.join(lots, "root").select("root", "v", "label", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), "block", F.lit(False).alias("row"))
-    both = asking.unionByName(asked).groupBy("root", "lot", "block", "v", "label").agg(F.max("row").alias("row"))
-    two = meet(both.select("v", F.xxhash64("root", "lot", "block").alias("g"), "label", "row").join(full, "v"))
+    asking = lot.select("root", "v", "label", "lot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("row"), F.lit(False).alias("top"))
+    asked = now.join(lots, "root").join(top, "root").select("root", "v", "label", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), "block", F.lit(False).alias("row"), (F.col("label") == F.col("top")).alias("top"))
+    both = asking.unionByName(asked).groupBy("root", "lot", "block", "v", "label").agg(F.max("row").alias("row"), F.max("top").alias("top"))
+    two = meet(both.select("v", F.xxhash64("root", "lot", "block").alias("g"), "label", "row", "top").join(full, "v"))
     return one.union(two)

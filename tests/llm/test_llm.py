@@ -296,6 +296,25 @@ def test_exact_classes_with_known_classes():
     assert (label[want] == label[0]).all() and (label[~want] != label[0]).all()
 
 
+def test_exact_classes_rows_of_the_larger_class_ask():
+    """Two sets of a class that ask, and one of the cluster's largest class that does not: the link is found."""
+    r, r2 = np.arange(20, dtype=np.uint64), np.arange(8, 28, dtype=np.uint64)
+    values, at = np.concatenate([r, r2, r]), np.array([0, 20, 40, 60])
+    for top in (2, None):
+        assert len(set(neardup.exact_classes(values, at, 80, np.array([0, 0, 2]), np.array([0, 1]), top))) == 1
+
+
+def test_near_duplicates_of_two_large_classes_with_one_bridge(spark):
+    """The bridge's ends are in different blocks, and its smaller class outnumbers the larger one in each block."""
+    common, left, right = ([f"{c}{i}" for i in range(n)] for c, n in (("c", 100), ("l", 13), ("t", 13)))
+    found = [" ".join([*common, *left, f"x{i}"]) for i in range(60)] + [" ".join([*common, *right, f"x{i}"]) for i in range(60, 150)]
+    found += [" ".join(common + left[:12]), " ".join(common + right[:12])]
+    root = brute_classes(dict(enumerate(found)), 1)[1]
+    assert set(root.values()) == {0} and set(brute_classes(dict(enumerate(found[:-1])), 1)[1].values()) == {0, 60}
+    rows = neardup.near_duplicates(docs_of(spark, found), words=1, block_shingles=1500).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == root
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)] + [(200, x) for x in range(201, 240)]
     out = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c")
