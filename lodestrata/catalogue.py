@@ -276,7 +276,7 @@ _add("queue_sizes", lambda s, d: _queue(s, d).groupBy("name").agg(F.count(F.lit(
 
 # --- graphs -----------------------------------------------------------------------------------------------------------------
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("src"), (F.col("event_id") * 31 % 150).alias("dst")).where("(src + dst) % 11 = 0").distinct()
+    return _table(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("src"), (F.col("event_id") * 31 % 150).alias("dst")).distinct()
 
 
 _EDGE = "e AS (SELECT DISTINCT user_id AS src, event_id * 31 % 150 AS dst FROM events WHERE event_type = 'purchase' AND (user_id + event_id * 31 % 150) % 11 = 0)"
@@ -284,7 +284,7 @@ _BFS = f"WITH RECURSIVE {_EDGE}, r AS (SELECT CAST(7 AS BIGINT) AS node, CAST(0
 _add("graph_degrees", lambda s, d: graph.degrees(_edges(s, d)), f"WITH {_EDGE} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node")
 _add("graph_neighbors", lambda s, d: _edges(s, d).where("src = 7").select("dst"), f"WITH {_EDGE} SELECT dst FROM e WHERE src = 7")
 _add("graph_bfs", lambda s, d: graph.bfs(_edges(s, d), 7, 8), _BFS + " SELECT node, depth FROM b")
-_add("graph_shortest_path", lambda s, d: graph.bfs(_edges(s, d), 7, 3, path=True), f"WITH RECURSIVE {_EDGE}, r AS (SELECT CAST(7 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth, '7' AS path UNION ALL SELECT e.dst, r.depth + 1, r.path || '>' || CAST(e.dst AS VARCHAR) FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth, arg_min(path, {{'d': depth, 'p': path}}) AS path FROM r GROUP BY node")
+_add("graph_shortest_path", lambda s, d: graph.bfs(_edges(s, d), 7, path=True), f"WITH RECURSIVE {_EDGE}, r AS (SELECT CAST(7 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth, '7' AS path UNION ALL SELECT e.dst, r.depth + 1, r.path || '>' || CAST(e.dst AS VARCHAR) FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth, arg_min(path, {{'d': depth, 'p': path}}) AS path FROM r GROUP BY node")
 
 
 # --- text index, sketches, metrics ------------------------------------------------------------------------------------------
