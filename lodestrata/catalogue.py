@@ -222,7 +222,7 @@ _add("lb_size", lambda s, d: _scores(s, d).groupBy("board").agg(F.count(F.lit(1)
 
 # --- sets, multimaps, bitmaps, tries, queues --------------------------------------------------------------------------------
 def _members(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "events").where("user_id % 7 < 5 OR event_type = 'view'").select(F.col("event_type").alias("coll"), F.col("user_id").cast("string").alias("member"))
+    return _table(s, d, "events").select(F.col("event_type").alias("coll"), F.col("user_id").cast("string").alias("member"))
 
 
 _SET = "WITH m AS (SELECT DISTINCT event_type AS coll, CAST(user_id AS VARCHAR) AS member FROM events WHERE user_id % 7 < 5 OR event_type = 'view') "

@@ -32,3 +32,11 @@ def test_graph_has_all_edges(spark):
         path |= {b: (p.count(">"), p) for b, p in front.items()}
     assert sorted(rows(spark, "graph_shortest_path")) == sorted((n, d, p) for n, (d, p) in path.items())
     assert sorted(rows(spark, "graph_bfs")) == sorted((n, d) for n, (d, _) in path.items() if d <= 8)
+
+
+def test_sets_have_all_members(spark):
+    of = {k: {str(u) for u, e in column("events", "user_id", "event_type") if e == k} for k in ("view", "purchase")}
+    view, purchase = of["view"], of["purchase"]
+    for name, want in (("union", view | purchase), ("intersection", view & purchase), ("difference", view - purchase), ("symmetric_difference", view ^ purchase)):
+        assert sorted(m for (m,) in rows(spark, f"set_{name}")) == sorted(want)
+    assert rows(spark, "set_relations") == [(len(purchase), len(view), len(purchase & view), purchase <= view, purchase >= view, not purchase & view)]
