@@ -294,7 +294,7 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 _TOK = "unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 _add("idx_token_counts", lambda s, d: text.postings(_docs(s, d)).groupBy("token").agg(F.count(F.lit(1)).alias("docs")), f"SELECT token, count(*) AS docs FROM (SELECT DISTINCT doc_id, {_TOK} AS token FROM documents) GROUP BY token")
-_add("idx_search", lambda s, d: text.search(_docs(s, d), _table(s, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text"), 5), f"WITH p AS (SELECT DISTINCT doc_id, {_TOK} AS token FROM documents), q AS (SELECT item_id AS query_id, {_TOK} AS token FROM benchmark WHERE item_id < 10), c AS (SELECT query_id, doc_id, count(*) AS score FROM p JOIN q USING (token) GROUP BY ALL) SELECT query_id, doc_id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS place FROM c) WHERE place <= 5")
+_add("idx_search", lambda s, d: text.search(_docs(s, d), _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5), f"WITH p AS (SELECT DISTINCT doc_id, {_TOK} AS token FROM documents), q AS (SELECT item_id AS query_id, {_TOK} AS token FROM benchmark WHERE item_id < 10), c AS (SELECT query_id, doc_id, count(*) AS score FROM p JOIN q USING (token) GROUP BY ALL) SELECT query_id, doc_id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS place FROM c) WHERE place <= 5")
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 
@@ -40,3 +42,19 @@ def test_sets_have_all_members(spark):
     for name, want in (("union", view | purchase), ("intersection", view & purchase), ("difference", view - purchase), ("symmetric_difference", view ^ purchase)):
         assert sorted(m for (m,) in rows(spark, f"set_{name}")) == sorted(want)
     assert rows(spark, "set_relations") == [(len(purchase), len(view), len(purchase & view), purchase <= view, purchase >= view, not purchase & view)]
+
+
+def test_index_searches_all_texts(spark):
+    stop = set("a an and are as at be by for from has he in is it its of on or that the to was were will with".split())
+
+    def words(x):
+        return [w for w in re.findall(r"[a-z0-9']+", x.lower()) if len(w) >= 2 and w not in stop]
+
+    docs = {i: set(words(x)) for i, x in column("documents", "doc_id", "text")}
+    assert dict(rows(spark, "idx_token_counts")) == Counter(w for d in docs.values() for w in d)
+    want = []
+    for q, x in column("benchmark", "item_id", "text"):
+        asked = words(x)
+        scored = sorted((-sum(w in d for w in asked), i) for i, d in docs.items() if not d.isdisjoint(asked))
+        want += [(q, i, -s, place + 1) for place, (s, i) in enumerate(scored[:5])]
+    assert sorted(rows(spark, "idx_search")) == sorted(want)
