@@ -30,8 +30,9 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "events").withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-def _user(column: str = "user_id") -> F.Column:
-    return F.concat(F.lit("user:"), F.lpad(F.col(column).cast("string"), 6, "0"))
+def _user(column: str | F.Column = "user_id") -> F.Column:
+    number = F.col(column) if isinstance(column, str) else column
+    return F.concat(F.lit("user:"), F.lpad(number.cast("string"), 6, "0"))
 
 
 def kv_log(s: SparkSession, d: str) -> DataFrame:
@@ -128,7 +129,7 @@ _add("kv_compact_keep_deletes", lambda s, d: kv.compact(kv_log(s, d), AS_OF, Fal
 @query("batch_apply", f"WITH {_LOG}, m AS (SELECT max(seq) + 1 AS seq FROM log), all_ AS (SELECT seq, key, op, value, expires_at FROM log UNION ALL SELECT m.seq, 'user:' || lpad(CAST(c_custkey AS VARCHAR), 6, '0'), CASE WHEN c_custkey % 3 = 0 THEN 'D' ELSE 'P' END, CASE WHEN c_custkey % 3 <> 0 THEN c_name END, NULL FROM customer, m WHERE c_custkey <= 60) SELECT key, x.value AS value FROM (SELECT key, arg_max({{'op': op, 'value': value, 'expires_at': expires_at}}, seq) AS x FROM all_ GROUP BY key) WHERE x.op = 'P' AND (x.expires_at IS NULL OR x.expires_at > {AS_OF})")
 def batch_apply(s: SparkSession, d: str) -> DataFrame:
     gone = F.col("c_custkey") % 3 == 0
-    batch = _table(s, d, "customer").where("c_custkey <= 60").select(F.lit(0).alias("ord"), _user("c_custkey").alias("key"), F.when(gone, "D").otherwise("P").alias("op"), F.when(~gone, F.col("c_name")).alias("value"), F.lit(None).cast("long").alias("expires_at"))
+    batch = _table(s, d, "customer").select(F.lit(0).alias("ord"), _user("c_custkey").alias("key"), F.when(gone, "D").otherwise("P").alias("op"), F.when(~gone, F.col("c_name")).alias("value"), F.lit(None).cast("long").alias("expires_at"))
     return _kv(kv.live(kv.append(kv_log(s, d).select("seq", "ord", "key", "op", "value", "expires_at"), batch), AS_OF))
 
 
@@ -172,13 +173,19 @@ _NAMES = "n AS (SELECT 'user:' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS ke
 
 
 def _names(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "customer").where("c_custkey <= 20").select(_user("c_custkey").alias("key"), (F.col("c_custkey") + 20).alias("n")).select("key", _user("n").alias("new_key"))
+    """All customers, to names that no key has."""
+    return _table(s, d, "customer").select(_user("c_custkey").alias("key")).withColumn("new_key", F.concat(F.lit("moved:"), F.substring("key", 6, 20)))
+
+
+def _neighbours(s: SparkSession, d: str) -> DataFrame:
+    """All customers in pairs: an odd number and the next one."""
+    return _table(s, d, "customer").select((F.col("c_custkey") - (F.col("c_custkey") + 1) % 2).alias("n")).distinct().select(_user("n").alias("a"), _user(F.col("n") + 1).alias("b"))
 
 
 _MOVED = "m AS (SELECT n.new_key AS key, l.value, CAST(NULL AS BIGINT) AS expires_at FROM live l JOIN n ON l.key = n.key)"
 _add("kv_rename", lambda s, d: rmw.rename(_live(s, d), _names(s, d)), f"{_KV}, {_NAMES}, {_MOVED} SELECT key, value, expires_at FROM live WHERE key NOT IN (SELECT key FROM n) AND key NOT IN (SELECT key FROM m) UNION ALL SELECT * FROM m")
 _add("kv_copy", lambda s, d: rmw.copy(_live(s, d), _names(s, d)), f"{_KV}, {_NAMES}, {_MOVED} SELECT key, value, expires_at FROM live WHERE key NOT IN (SELECT key FROM m) UNION ALL SELECT * FROM m")
-_add("kv_swap", lambda s, d: rmw.swap(_live(s, d), _names(s, d).select(F.col("key").alias("a"), F.col("new_key").alias("b"))), f"{_KV}, {_NAMES}, p AS (SELECT n.key AS a, n.new_key AS b, x.value AS va, y.value AS vb FROM n JOIN live x ON x.key = n.key JOIN live y ON y.key = n.new_key) SELECT a AS key, vb AS value FROM p UNION ALL SELECT b, va FROM p")
+_add("kv_swap", lambda s, d: rmw.swap(_live(s, d), _neighbours(s, d)), f"{_KV}, {_NAMES}, p AS (SELECT n.key AS a, n.new_key AS b, x.value AS va, y.value AS vb FROM n JOIN live x ON x.key = n.key JOIN live y ON y.key = n.new_key) SELECT a AS key, vb AS value FROM p UNION ALL SELECT b, va FROM p")
 _add("kv_map_values", lambda s, d: rmw.map_values(_live(s, d), F.regexp_replace("value", r"\.\d+$", "")), _KV + r"SELECT key, regexp_replace(value, '\.\d+$', '') AS value FROM live WHERE regexp_matches(value, '\.\d+$')")
 _add("kv_range_delete", lambda s, d: rmw.delete_where(_live(s, d), (F.col("key") >= "user:000020") & (F.col("key") < "user:000090")), _KV + "SELECT key, value FROM live WHERE NOT (key >= 'user:000020' AND key < 'user:000090')")
 _add("kv_prefix_delete", lambda s, d: rmw.delete_where(_live(s, d), F.col("key").startswith("user:00001")), _KV + "SELECT key, value FROM live WHERE NOT starts_with(key, 'user:00001')")

@@ -58,3 +58,18 @@ def test_index_searches_all_texts(spark):
         scored = sorted((-sum(w in d for w in asked), i) for i, d in docs.items() if not d.isdisjoint(asked))
         want += [(q, i, -s, place + 1) for place, (s, i) in enumerate(scored[:5])]
     assert sorted(rows(spark, "idx_search")) == sorted(want)
+
+
+def test_batches_have_all_customers(spark):
+    live = {k: (v, e) for k, v, e, _ in rows(spark, "kv_live")}
+    customers = {f"user:{c:06d}": (c, n) for c, n in column("customer", "c_custkey", "c_name")}
+    moved = {k: "moved:" + k[5:] for k in customers}
+    batch = {k: v for k, (v, _) in live.items() if k not in customers} | {k: n for k, (c, n) in customers.items() if c % 3}
+    assert sorted(rows(spark, "batch_apply")) == sorted(batch.items())
+    renamed = {(moved[k], v, None) if k in moved else (k, v, e) for k, (v, e) in live.items()}
+    assert set(rows(spark, "kv_rename")) == renamed
+    assert set(rows(spark, "kv_copy")) == renamed | {(k, v, e) for k, (v, e) in live.items()}
+    pairs = [(f"user:{c:06d}", f"user:{c + 1:06d}") for c in range(1, len(customers), 2)]
+    swapped = {x: live[y][0] for a, b in pairs if a in live and b in live for x, y in ((a, b), (b, a))}
+    assert swapped and sorted(rows(spark, "kv_swap")) == sorted(swapped.items())
+    assert sorted(rows(spark, "kv_delete_many")) == sorted((k, v) for k, (v, _) in live.items() if k not in customers)
