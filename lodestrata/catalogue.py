@@ -317,9 +317,11 @@ _add("hll_merge", lambda s, d: sketch.estimate(sketch.registers(_items(s, d).wit
 
 @query("bloom_probe", None)
 def bloom_probe(s: SparkSession, d: str) -> DataFrame:
-    held = sketch.bloom_bits(_items(s, d).where("event_type = 'purchase'"), "item", 4096, 7)
+    items = _items(s, d).where("event_type = 'purchase'").select("item").distinct()
+    bits, hashes = sketch.bloom_size(items.count())
+    held = sketch.bloom_bits(items, "item", bits, hashes)
     probes = _table(s, d, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("item"))
-    return sketch.bloom_probe(probes, "item", held, 4096, 7)
+    return sketch.bloom_probe(probes, "item", held, bits, hashes)
 
 
 _CASE = "CASE " + " ".join(f"WHEN value <= {b} THEN {b}" for b in metrics.BOUNDS) + " ELSE 1000 END"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def estimate(regs: DataFrame) -> DataFrame:
     return s.select("name", "used", F.round(value).cast("long").alias("estimate"))
 
 
+def bloom_size(capacity: int, rate: float = 0.01) -> tuple[int, int]:
+    """Bits and hashes for so many distinct items at a false-positive rate."""
+    capacity = max(1, capacity)
+    bits = math.ceil(-capacity * math.log(rate) / math.log(2) ** 2)
+    return bits, max(1, round(bits / capacity * math.log(2)))
+
+
 def bloom_bits(items: DataFrame, item: str, bits: int, hashes: int) -> DataFrame:
     """The set bits of a Bloom filter by double hashing."""
     return items.select(F.explode(_places(F.col(item), bits, hashes)).alias("bit")).distinct()

@@ -73,3 +73,12 @@ def test_batches_have_all_customers(spark):
     swapped = {x: live[y][0] for a, b in pairs if a in live and b in live for x, y in ((a, b), (b, a))}
     assert swapped and sorted(rows(spark, "kv_swap")) == sorted(swapped.items())
     assert sorted(rows(spark, "kv_delete_many")) == sorted((k, v) for k, (v, _) in live.items() if k not in customers)
+
+
+def test_bloom_filter_grows_with_its_items(spark, tmp_path):
+    """3,000 members: none is lost, and few others answer maybe."""
+    spark.sql("SELECT 'purchase' AS event_type, id AS user_id, current_timestamp() AS ts FROM range(3000)").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT id AS c_custkey FROM range(9000)").write.parquet(f"{tmp_path}/customer.parquet")
+    maybe = {int(i[5:]): m for i, m in rows(spark, "bloom_probe", str(tmp_path))}
+    assert len(maybe) == 9000 and all(maybe[i] for i in range(3000))
+    assert sum(maybe[i] for i in range(3000, 9000)) < 0.03 * 6000
