@@ -110,13 +110,27 @@ def _describe(k: int):
 # --- chosen paths ---------------------------------------------------------------------------------------------------
 
 
+def missed(threshold: float, depth: int, trees: int) -> float:
+    """Chance that a pair at ``threshold`` shares no node at ``depth``.
+
+    All trees use one signature, so it is a mean over the number of coordinates on which the pair agrees.
+    """
+    out = 0.0
+    for agree in range(COORDINATES + 1):
+        lost = 0.0
+        for _ in range(depth):
+            one = 1 - agree / COORDINATES * (1 - lost)
+            lost = (1 - BRANCH_TWO) * one + BRANCH_TWO * one * one
+        out += math.comb(COORDINATES, agree) * threshold**agree * (1 - threshold) ** (COORDINATES - agree) * lost**trees
+    return out
+
+
 def trees_for(threshold: float, depth: int, miss: float = MISS) -> int:
-    """Trees so that a pair that agrees on ``threshold`` of the coordinates shares no node at ``depth`` with ``miss`` at most."""
-    lost = 0.0
-    for _ in range(depth):
-        one = 1 - threshold * (1 - lost)
-        lost = (1 - BRANCH_TWO) * one + BRANCH_TWO * one * one
-    return math.ceil(math.log(miss) / math.log(lost))
+    """Trees so that a pair at ``threshold`` shares no node with ``miss`` at most, also where large nodes branch again."""
+    trees = 1
+    while missed(threshold, depth + LEVELS_MORE, trees) > miss and trees < 1000:
+        trees += 1
+    return trees
 
 
 def branch(path: np.ndarray, row: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -286,6 +286,17 @@ def test_near_duplicates_in_large_groups(spark, block):
     assert neardup.near_duplicates(docs_of(spark, found).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [2, 4, 8])
+def test_trees_reach_pairs_whose_signatures_agree_less(depth):
+    """Simulated agreement of one signature, the deepest level of large nodes: the mean chance of a miss."""
+    lost = np.zeros(200_000)
+    agree = np.random.default_rng(3).binomial(128, 0.8, len(lost)) / 128
+    for _ in range(depth + neardup.LEVELS_MORE):
+        one = 1 - agree * (1 - lost)
+        lost = 0.75 * one + 0.25 * one**2
+    assert (lost ** neardup.trees_for(0.8, depth)).mean() <= 2 * neardup.MISS
+
+
 def test_exact_classes_with_known_classes():
     rng = np.random.default_rng(8)
     base = np.sort(rng.choice(10**6, 50, replace=False)).astype(np.uint64)
