@@ -1,8 +1,9 @@
 """BPE with word ends: encoding and decoding, merges by a contiguous rank array.
 
-Texts are brought to NFC and lower case, cut into words, and each distinct word is merged once a worker: its part
-boundaries and the ranks of adjacent parts lie in two short lists; the smallest rank is found by scanning, its
-boundary is deleted, and the two neighbouring ranks are looked up again.  Words of over LONG_WORD bytes, for which
+Texts are brought to NFC and lower case by the library's own tables (whose Unicode is newer than Python's) and cut
+into words, and each distinct word is merged once a worker: its part boundaries and the ranks of adjacent parts lie in
+two short lists; the smallest rank is found by scanning, its boundary is deleted, and the two neighbouring ranks are
+looked up again.  Words of over LONG_WORD bytes, for which
 scanning is quadratic, take the same merges from a heap instead.  Whole texts are encoded, then decoded (the parts,
 with a space between).
 
@@ -16,7 +17,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +47,12 @@ def byte_letters() -> list[str]:
     return out
 
 
+def _decoded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, and row bounds in code points."""
+    place = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4"), np.searchsorted(place, offs)
+
+
 class WordBPE:
     """A vocabulary file of the kind BPE with an end-of-word suffix."""
 
@@ -112,16 +118,27 @@ class WordBPE:
 
     @staticmethod
     def normal(column: pa.Array) -> pa.Array:
-        """NFC, then lower case character by character."""
+        """NFC, then lower case character by character, both as in the library."""
         column = pc.fill_null(column, "")
         data, offs = tv.buffers(column)
         if not len(data) or data.max() < 128:
             return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(offs), pa.py_buffer(tv.lower_ascii(data))])
-        texts = [x if x.isascii() or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x) for x in column.to_pylist()]
-        data, offs = tv.buffers(pa.array([x.replace("\u0130", "i\u0307") for x in texts], type=pa.large_string()))
-        code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
-        rows = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offs)
-        code = sw.lower_table()[code]
+        table, several = sw.lower_table()
+        code, rows = _decoded(data, offs)
+        rough = sw.unsettled()[code]
+        for x in several:
+            rough |= code == ord(x)
+        if rough.any():  # rows with such characters go to the library, the others are as they should be
+            from tokenizers import normalizers
+
+            form = normalizers.NFC().normalize_str
+            texts = column.to_pylist()
+            for r in np.unique(np.searchsorted(rows, np.flatnonzero(rough), side="right") - 1).tolist():
+                texts[r] = form(texts[r])
+                for x, lower in several.items():
+                    texts[r] = texts[r].replace(x, lower)
+            code, rows = _decoded(*tv.buffers(pa.array(texts, type=pa.large_string())))
+        code = table[code]
         size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
         bound = np.zeros(len(code) + 1, dtype=np.int64)
         np.cumsum(size, out=bound[1:])

@@ -18,36 +18,71 @@ from lodestrata.llm import textvec as tv
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 _TABLE_SIZE = 0x110000
 
-#: Unicode White_Space, which the pattern class \s stands for.
-WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: The endings that the cutting patterns take with an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
+#: Ranges of code points that may have a class, a lower case or a composition: planes 0 to 3, and tags and selectors.
+ASSIGNED = ((1, 0xD800), (0xE000, 0x40000), (0xE0000, 0xE1000))
+
 _classes: np.ndarray | None = None
-_lower: np.ndarray | None = None
+_lower: tuple[np.ndarray, dict[str, str]] | None = None
+_unsettled: np.ndarray | None = None
+
+
+def _points() -> list[int]:
+    return [c for a, b in ASSIGNED for c in range(a, b)]
 
 
 def classes() -> np.ndarray:
+    """The class of each code point, as the library's patterns see it (its Unicode tables are newer than Python's)."""
     global _classes
     if _classes is None:
+        from tokenizers import Regex, pre_tokenizers
+
+        points = np.array(_points())
+        text = "".join(map(chr, points))
         table = np.zeros(_TABLE_SIZE, dtype=np.uint8)
-        kinds = {"L": LETTER, "N": NUMBER}
-        table[: 0x3FFFF] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x3FFFF)]
-        table[list(WHITE_SPACE)] = SPACE
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+                table[points[a:b]] = kind
         _classes = table
     return _classes
 
 
-def lower_table() -> np.ndarray:
-    """One-to-one lower case; the only character that lower-cases to two (U+0130) is dealt with before."""
+def lower_table() -> tuple[np.ndarray, dict[str, str]]:
+    """The library's lower case: one-to-one as a table, and the characters that become several."""
     global _lower
     if _lower is None:
+        from tokenizers import normalizers
+
+        points = _points()
+        found = normalizers.Lowercase().normalize_str("\0".join(map(chr, points))).split("\0")
         table = np.arange(_TABLE_SIZE, dtype=np.uint32)
-        table[:0x20000] = [ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0xD800)] + [*range(0xD800, 0xE000)] + [ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0xE000, 0x20000)]
-        _lower = table
+        table[points] = [ord(x) if len(x) == 1 else c for c, x in zip(points, found, strict=True)]
+        _lower = table, {chr(c): x for c, x in zip(points, found, strict=True) if len(x) != 1}
     return _lower
 
 
+def unsettled() -> np.ndarray:
+    """Code points (flags) that may change, or join with others, when a text is brought to the normal form NFC.
+
+    A text without any is in that form: all its characters are starters that no earlier character takes up.
+    """
+    global _unsettled
+    if _unsettled is None:
+        from tokenizers import normalizers
+
+        points = _points()
+        found = normalizers.NFC().normalize_str("\0".join(map(chr, points))).split("\0")
+        flags = np.ones(_TABLE_SIZE, dtype=bool)
+        flags[0] = False
+        flags[points] = [x != chr(c) or unicodedata.combining(chr(c)) != 0 or unicodedata.category(chr(c)) == "Cn" for c, x in zip(points, found, strict=True)]
+        taken = [int(d.split()[1], 16) for c in points if len((d := unicodedata.decomposition(chr(c))).split()) == 2 and d[0] != "<"]
+        flags[[*taken, *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]] = True  # the last: vowels and finals of Hangul
+        _unsettled = flags
+    return _unsettled
+
+
 def _contractions(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
     """Corrects ``start`` (flags of word starts) around apostrophes that begin a word."""
     at = np.flatnonzero((code == 39) & start)
@@ -69,7 +104,7 @@ def _contractions(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None
     start[after[after < n]] = True
 
 
-def _points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+def _codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """Code points, the byte place of each (None: ASCII, places are indexes), and row bounds in code points."""
     if not len(data) or data.max() < 128:
         return data, None, offs
@@ -90,7 +125,7 @@ def _bytes_at(index: np.ndarray, place: np.ndarray | None, total: int) -> np.nda
 
 def cut_spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Words that carry one leading space; white space is kept.  (word bounds in bytes, row bounds in words, kept)."""
-    code, place, rows = _points(data, offs)
+    code, place, rows = _codes(data, offs)
     n = len(code)
     kind = classes()[code]
     start = np.empty(n, dtype=bool)
@@ -112,7 +147,7 @@ def cut_spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def cut_plain(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Words of letters, single numerals, runs of other characters; white space is marked as not kept."""
-    code, place, rows = _points(data, offs)
+    code, place, rows = _codes(data, offs)
     n = len(code)
     kind = classes()[code]
     start = np.empty(n, dtype=bool)

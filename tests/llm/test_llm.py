@@ -81,6 +81,55 @@ def test_word_bpe_equals_the_library():
             assert spelt[r].decode() == t.decode(want, skip_special_tokens=False)
 
 
+def same_as_library(name, cases, ids_of):
+    """Compares ids (and decoded texts, where given) of all cases with the library's."""
+    t = library(name)
+    want = t.encode_batch(cases, add_special_tokens=False)
+    at = 0
+    for first, own, spelt in ids_of(pa.array(cases)):
+        assert first == at
+        for r, ids in enumerate(own):
+            w = want[first + r].ids
+            assert np.asarray(ids).tolist() == w, ascii(cases[first + r])
+            if spelt is not None:
+                assert spelt[r].decode() == t.decode(w, skip_special_tokens=False), ascii(cases[first + r])
+        at += len(own)
+    assert at == len(cases)
+
+
+def byte_level_rows(column):
+    for first, ids, at in subwords.byte_level_ids(column, P.path("byte_bpe_50k.json")):
+        yield first, [ids[a:b] for a, b in zip(at, at[1:])], None
+
+
+def every_character():
+    """All code points but surrogates; of the private and never-assigned planes every 97th."""
+    return [chr(c) for a, b, step in ((1, 0xD800, 1), (0xE000, 0x34000, 1), (0x34000, 0xE0000, 97), (0xE0000, 0xE0200, 1), (0xE0200, 0x110000, 97)) for c in range(a, b, step)]
+
+
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_every_code_point_equals_the_library(kind):
+    """Each character by itself, within letters, beside numerals, white space, an apostrophe and itself."""
+    found = every_character()
+    cases = [f"{x} a{x}b 1{x}2'{x}s {x}{x}.{x}\u0301" for x in found]
+    if kind == "word":
+        same_as_library("word_bpe_49k.json", cases, bpe.vocabulary(P.path("word_bpe_49k.json")).encode_column)
+    else:
+        same_as_library("byte_bpe_50k.json", cases, byte_level_rows)
+
+
+def test_combining_pairs_equal_the_library():
+    """Bases with every combining character, and the two parts of every composition, in both orders."""
+    import unicodedata
+
+    marks = [x for x in every_character() if unicodedata.combining(x) or unicodedata.category(x) in ("Mn", "Mc")]
+    parts = [tuple(chr(int(y, 16)) for y in d.split()) for x in every_character() if len((d := unicodedata.decomposition(x)).split()) == 2 and d[0] != "<"]
+    hangul = [(a, b) for a in "\u1100\u1112\uac00\ud788" for b in "\u1161\u1175\u11a7\u11a8\u11c2\u11c3"]
+    cases = [f"x{b}{m}{n}y" for m in marks for b, n in (("A", "\u0300"), ("\u0915", "\u093c"), ("\u1025", m))]
+    cases += [f"{a}{b} {b}{a}{b}\u0323" for a, b in parts + hangul]
+    same_as_library("word_bpe_49k.json", cases, bpe.vocabulary(P.path("word_bpe_49k.json")).encode_column)
+
+
 def test_scan_and_heap_merge_alike():
     v = bpe.vocabulary(P.path("word_bpe_49k.json"))
     rng = random.Random(3)
