@@ -17,8 +17,9 @@
 
 Defined cases: a text without words (or null) has no shingles and is linked with nothing; with fewer words than a
 shingle has, the whole sequence is the only shingle; rows with a null doc_id get a null component and are kept; rows
-that repeat a doc_id stay, each with its own set (if their texts differ and one is the smallest of its class, both
-count as that document); an empty table gives an empty result; other columns are ignored.
+that repeat a doc_id stay, each with its own n_shingles (if their texts differ, all sets that have the id as their
+smallest count as that document, so what is linked with any of them is in its class); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +41,13 @@ COORDINATES = 128
 BRANCH_TWO = 0.25  # a node selects two coordinates so often, else one: 1 / 0.8 on average
 MISS = 1e-6
 LEAF = 32
+STRANGERS = 25
 LEVELS_MORE = 1
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 16
 BROADCAST_IDS = 300_000
+#: Sets that a task remembers having given, so that repeated rows are not sent again.
+GIVEN = 200_000
 _U = np.uint64
 
 
@@ -262,8 +266,11 @@ def _compare(percent: int, last: bool):
 
 
 def candidates(reps: DataFrame, scratch: Scratch, percent: int, count: int) -> DataFrame:
-    """Candidate pairs (a, b) of representatives reps(v, n, sign)."""
-    depth = min(8, max(2, round(math.log(max(count, 2)) / math.log(25))))
+    """Candidate pairs (a, b) of representatives reps(v, n, sign).
+
+    The depth is that at which a node holds LEAF strangers, if one in STRANGERS shares a minwise token.
+    """
+    depth = min(8, max(2, round(math.log(max(count, 2) / LEAF) / math.log(STRANGERS))))
     trees = trees_for(percent / 100, depth)
     members = reps.select("v", "n", "sign").mapInArrow(_paths(trees, depth), "path long, v long, n long, s0 long, s1 long")
     found = None
@@ -301,31 +308,49 @@ def exact_classes(values: np.ndarray, at: np.ndarray, percent: int, known: np.nd
     order = np.argsort(token, kind="stable")
     posting = owner[order]
     start = np.concatenate([[0], np.cumsum(np.bincount(token))])
-    done = np.zeros(m, dtype=bool)
-    if rows is not None:
-        done[:] = True
-        done[rows] = False
-    while True:
-        size = np.bincount(label, minlength=m)
-        if rows is not None:
-            settled = -1 if top is None else label[top]
-        else:
-            settled = size.argmax() if size.max() > 1 else -1
-        open_ = np.flatnonzero(~done & (label != settled))
-        if not len(open_) or size.max() == m:
-            return label
-        i = int(open_[0])
-        done[i] = True
-        if not n[i]:
-            continue
-        own = token[at[i] : at[i + 1]]
-        inter = np.bincount(posting[tv.gather(start[own], start[own + 1] - start[own])], minlength=m)
-        joined = label[100 * inter >= percent * (n[i] + n - inter)]
-        if len(joined):
-            new = label[i]
-            hit = np.unique(joined)
-            if len(hit) > 1 or hit[0] != new:
-                label[np.isin(label, hit)] = new
+    parent, size = list(range(m)), np.bincount(label, minlength=m).tolist()  # of class numbers
+    name = label.tolist()
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    largest = int(np.argmax(size))
+    todo = list(range(m)) if rows is None else rows.tolist()
+    while todo:
+        left = []
+        for i in todo:
+            mine = root(name[i])
+            if rows is None:
+                settled = size[largest] > 1 and mine == largest
+            else:
+                settled = top is not None and mine == root(name[top])
+            if settled:
+                left.append(i)  # asks after all if another class becomes the largest
+                continue
+            if not n[i] or size[largest] == m:
+                continue
+            own = token[at[i] : at[i + 1]]
+            hit = posting[tv.gather(start[own], start[own + 1] - start[own])]
+            if len(hit) < m // 8:  # as much work as there are sets that share a shingle
+                there, inter = np.unique(hit, return_counts=True)
+            else:
+                inter = np.bincount(hit, minlength=m)
+                there = np.flatnonzero(inter)
+                inter = inter[there]
+            for j in there[100 * inter >= percent * (n[i] + n[there] - inter)].tolist():
+                mine, other = root(name[i]), root(name[j])
+                if mine != other:
+                    parent[other] = mine
+                    size[mine] += size[other]
+                    if size[mine] > size[largest] or other == largest:
+                        largest = mine
+        if len(left) == len(todo) or size[largest] == m:
+            break
+        todo = left if rows is None else []
+    return np.unique([root(c) for c in name], return_inverse=True)[1]
 
 
 def _blocks(percent: int):
@@ -333,11 +358,12 @@ def _blocks(percent: int):
 
     def classes(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
-        v = t.column("v").to_numpy()
-        _, keep = np.unique(v, return_index=True)
-        if len(keep) < 2:
+        held: dict[tuple[int, bytes], int] = {}  # a document with several texts has several sets
+        for i, (x, raw) in enumerate(zip(t.column("v").to_pylist(), (c for chunk in t.column("values").chunks for c in chunk), strict=True)):
+            held.setdefault((x, hashlib.md5(raw.as_buffer()).digest()), i)
+        if len(held) < 2:
             return None
-        t = t.take(pa.array(keep))
+        t = t.take(pa.array(list(held.values())))
         v, raw = t.column("v").to_numpy(), t.column("values").combine_chunks()
         if isinstance(raw, pa.ChunkedArray):
             raw = pa.concat_arrays(raw.chunks)
@@ -378,13 +404,22 @@ def _blocks(percent: int):
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, few: bool) -> DataFrame:
-    """v, values (sorted 64-bit shingles) for the representatives in ``wanted``."""
+    """v, values (sorted 64-bit shingles) for the representatives in ``wanted``; a task gives a set of a v but once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, bytes]] = set()
         for batch in batches:
             for first, values, at in sets(batch.column(1), k):
-                rows = len(at) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array([values[at[r] : at[r + 1]].tobytes() for r in range(rows)], type=pa.binary())], names=["v", "values"])
+                v, held = batch.column(0).slice(first, len(at) - 1).to_pylist(), []
+                for r, x in enumerate(v):
+                    own = values[at[r] : at[r + 1]].tobytes()
+                    name = (x, hashlib.md5(own).digest())
+                    if name not in given:
+                        given.add(name)
+                        held.append((x, own))
+                if len(given) > GIVEN:
+                    given.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], type=pa.int64()), pa.array([own for _, own in held], type=pa.binary())], names=["v", "values"])
 
     ids = wanted.select(F.col("v").alias("doc_id"))
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "v long, values binary")
@@ -398,13 +433,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     described = scratch.keep(source.mapInArrow(_describe(words), "doc_id long, n long, digest binary, sign binary"), "described")
     filled = described.where("n > 0 and doc_id is not null")
-    groups = scratch.keep(filled.groupBy("digest").agg(F.min("doc_id").alias("v")), "groups")
-    heads = groups.join(filled, (groups["v"] == filled["doc_id"]) & (groups["digest"] == filled["digest"])).select("v", "n", "sign")
-    reps = scratch.keep(heads.dropDuplicates(["v"]), "reps")
+    # one row of each group of equal sets, combined map-side: a hot group sends one row a task
+    groups = scratch.keep(filled.groupBy("digest").agg(F.min_by(F.struct(F.col("doc_id").alias("v"), "n", "sign"), "doc_id").alias("x")).select("digest", "x.*"), "groups")
+    reps = groups.select("v", "n", "sign")
 
     pairs = candidates(reps, scratch, percent, reps.count())
     cluster = scratch.keep(components(pairs, scratch, "cluster"), "clusters")
-    sized = cluster.join(reps.select("v", "n"), "v")
+    sized = cluster.join(reps.groupBy("v").agg(F.sum("n").alias("n")), "v")
     weight = sized.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("blocks"))
     member = scratch.keep(sized.join(weight, "root"), "member")
     few = member.count() <= BROADCAST_IDS
@@ -419,7 +454,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not large.isEmpty():
         links = links.union(_large_clusters(large, full, scratch, meet, block_shingles))
     found = components(scratch.keep(links, "links"), scratch, "class").where("v <> root")
-    ids = groups.join(found, "v", "left").select("digest", F.coalesce("root", "v").alias("component_id"))
+    ids = groups.select("v", "digest").join(found, "v", "left").select("digest", F.coalesce("root", "v").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("digest")).alias("digest")).join(ids, "digest", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

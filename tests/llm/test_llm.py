@@ -375,6 +375,27 @@ def test_near_duplicates_of_two_large_classes_with_one_bridge(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == root
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """Whatever is linked with any text of an id is in its class; equal rows of an id are one set."""
+    a, b = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10", "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10"
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "other words"), *[(5, a)] * 50, (6, None)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=1).collect()
+    assert len(out) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6)}
+
+
+def test_planted_pairs_at_the_threshold(spark):
+    """Pairs at exactly 0.8 and just below, planted among 10,000 documents: all of the first, none of the second."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = []
+    for i in range(300):  # 2-word shingles: 44 common ones, and 11 or 12 of one side's own
+        common = [f"p{i}w{j}" for j in range(45)]
+        for side, more in ((0, 0), (1, 11 if i % 2 else 12)):
+            rows.append((10**7 + 2 * i + side, " ".join(common + [f"q{i}x{j}" for j in range(more)])))
+    out = neardup.near_duplicates(docs.union(spark.createDataFrame(rows, "doc_id long, text string")), words=2).where(f"doc_id >= {10**7}").collect()
+    assert {r["doc_id"] - 10**7: r["component_id"] - 10**7 for r in out} == {2 * i + side: 2 * i if i % 2 else 2 * i + side for i in range(300) for side in (0, 1)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)] + [(200, x) for x in range(201, 240)]
     out = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c")
