@@ -11,17 +11,27 @@ REGISTERS = 512
 ALPHA = 0.7213 / (1 + 1.079 / REGISTERS)
 
 
-def hash60(text: Column) -> Column:
-    """The first 15 hexadecimal digits of SHA-256 as a number."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+def _word(digest: Column, first: int) -> Column:
+    """32 bits of a hexadecimal digest from digit ``first``."""
+    return F.conv(F.substring(digest, first, 8), 16, 10).cast("long")
 
 
 def registers(items: DataFrame, name: str, item: str) -> DataFrame:
-    """name, bucket, rho: at most one row a register survives the map side."""
-    h = hash60(F.col(item))
-    rest = F.shiftright(h, 9)
-    rho = F.lit(51) - F.when(rest == 0, 0).otherwise(F.length(F.bin(rest))) + 1
-    return items.select(F.col(name).alias("name"), h.bitwiseAND(REGISTERS - 1).alias("bucket"), rho.cast("int").alias("rho")).groupBy("name", "bucket").agg(F.max("rho").alias("rho"))
+    """name, bucket, rho: at most one row a register survives the map side.
+
+    The hash is the first 64 bits of SHA-256: nine low bits choose the register, rho is the place of the first set bit
+    of the other 55 (56 if there is none).
+    """
+    digest = F.sha2(F.col(item), 256)
+    high, low = _word(digest, 1), _word(digest, 9)
+    rest = F.shiftleft(high, 23).bitwiseOR(F.shiftright(low, 9))
+    rho = F.lit(56) - F.when(rest == 0, 0).otherwise(F.length(F.bin(rest)))
+    return items.select(F.col(name).alias("name"), low.bitwiseAND(REGISTERS - 1).alias("bucket"), rho.cast("int").alias("rho")).groupBy("name", "bucket").agg(F.max("rho").alias("rho"))
+
+
+def merge(regs: DataFrame, into: str) -> DataFrame:
+    """The union of all sketches in ``regs``, register by register: nothing is hashed again."""
+    return regs.groupBy(F.lit(into).alias("name"), "bucket").agg(F.max("rho").alias("rho"))
 
 
 def estimate(regs: DataFrame) -> DataFrame:
@@ -46,10 +56,14 @@ def bloom_bits(items: DataFrame, item: str, bits: int, hashes: int) -> DataFrame
 
 
 def _places(text: Column, bits: int, hashes: int) -> Column:
+    """(h1 + i h2) mod bits, where h1 and h2 are the first two 64-bit words of SHA-256."""
     digest = F.sha2(text, 256)
-    one = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    two = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
-    return F.array(*[(one + i * two) % bits for i in range(hashes)])
+    if bits < 1 << 31:  # in 64 bits: the remainders of halves
+        one, two = (((_word(digest, at) % bits) * ((1 << 32) % bits) + _word(digest, at + 8)) % bits for at in (1, 17))
+        return F.array(*[(one + i * two) % bits for i in range(hashes)])
+    wide = F.lit(1 << 32).cast("decimal(12,0)")
+    one, two = (((_word(digest, at).cast("decimal(12,0)") * wide + _word(digest, at + 8)) % F.lit(bits).cast("decimal(19,0)")).cast("long") for at in (1, 17))
+    return F.array(*[((one.cast("decimal(20,0)") + two.cast("decimal(20,0)") * i) % F.lit(bits).cast("decimal(19,0)")).cast("long") for i in range(hashes)])
 
 
 def bloom_probe(probes: DataFrame, item: str, filter_bits: DataFrame, bits: int, hashes: int) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.plans.folds import fold
 
-def _ordered(*more: str) -> Window:
-    return Window.partitionBy("key").orderBy("seq")
+
+def _ordered() -> Window:
+    return Window.partitionBy("key").orderBy("seq", "ord")
 
 
 def getset(log: DataFrame) -> DataFrame:
@@ -18,14 +20,22 @@ def getset(log: DataFrame) -> DataFrame:
 
 def getdel(log: DataFrame) -> DataFrame:
     """What each delete removed."""
-    return getset(log.select("seq", "key", "op", "value")).join(log.where("op = 'D'").select("seq"), "seq", "left_semi")
+    return log.select("seq", "key", "op", F.lag("value").over(_ordered()).alias("old_value")).where("op = 'D'").drop("op")
+
 
+def conditional(ops: DataFrame) -> DataFrame:
+    """Whether each of ops(key, seq, mode, value, expires_at, ts_us) applies, in order: modes are P (put), NX (put if
+    absent), XX (put if present) and D (delete).  A refused put changes nothing; expiry is judged at each operation.
+    """
 
-def set_if(log: DataFrame, present: bool) -> DataFrame:
-    """Whether each put, taken by itself against the state before it, would apply if the key must be present/absent."""
-    found = F.lag("op").over(_ordered())
-    there = F.coalesce(found == "P", F.lit(False))
-    return log.withColumn("applied", there if present else ~there).where("op = 'P'").select("seq", "key", "applied")
+    def step(state, mode, value, expires, now):
+        present = state is not None and (state[1] is None or state[1] > now)
+        applied = mode in ("P", "D") or present == (mode == "XX")
+        if applied:
+            state = None if mode == "D" else (value, expires)
+        return state, (applied, value if applied and mode != "D" else state[0] if present and mode != "D" else None)
+
+    return fold(ops, "key", ("seq",), ("mode", "value", "expires_at", "ts_us"), lambda: None, step, every="applied boolean, state string")
 
 
 def running(log: DataFrame, amount: Column, how: str) -> DataFrame:
@@ -34,56 +44,51 @@ def running(log: DataFrame, amount: Column, how: str) -> DataFrame:
     return log.select("seq", "key", getattr(F, how)(amount).over(window).alias("state"))
 
 
-def appended(log: DataFrame, separator: str = ",") -> DataFrame:
-    """All puts of a key joined in order."""
-    rows = F.sort_array(F.collect_list(F.struct("seq", "value")))
-    return log.where("op = 'P'").groupBy("key").agg(rows.alias("r")).select("key", F.array_join("r.value", separator).alias("value"))
+def appended(log: DataFrame, separator: str = ",", span: int = 1 << 16) -> DataFrame:
+    """All puts of a key joined in order: first within spans of ``seq``, so that no task lists a hot key's rows."""
+    rows = F.sort_array(F.collect_list(F.struct("seq", "ord", "value")))
+    part = log.where("op = 'P'").groupBy("key", F.floor(F.col("seq") / span).alias("span")).agg(rows.alias("r")).select("key", "span", F.array_join("r.value", separator).alias("piece"))
+    whole = part.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("span", "piece"))).alias("r"))
+    return whole.select("key", F.array_join("r.piece", separator).alias("value"))
 
 
 def cas_fold(ops: DataFrame) -> DataFrame:
     """Compare-and-swap over ops(seq, key, expected, value): final value and number of swaps that applied.
 
-    A swap applies if the state equals ``expected`` (null: absent).  The fold of a key is sequential by nature.
+    A swap applies if the state equals ``expected`` (null: absent).
     """
-    step = "named_struct('v', if(s.v <=> o.expected, o.value, s.v), 'n', s.n + if(s.v <=> o.expected, 1, 0))"
-    fold = f"aggregate(o, cast(named_struct('v', null, 'n', 0) AS struct<v: string, n: bigint>), (s, o) -> {step})"
-    listed = ops.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "expected", "value"))).alias("o"))
-    return listed.select("key", F.expr(fold).alias("s")).select("key", F.col("s.v").alias("value"), F.col("s.n").alias("swaps"))
-
 
-def lock_fold(requests: DataFrame, ttl_us: int) -> DataFrame:
-    """Lock requests(name, seq, owner, ts_us) in order: granted if free, expired, or held by the same owner."""
-    step = f"""if(s.owner is null or s.until <= o.ts_us or s.owner = o.owner,
-        named_struct('owner', o.owner, 'until', o.ts_us + {ttl_us}, 'n', s.n + 1), s)"""
-    fold = f"aggregate(o, cast(named_struct('owner', null, 'until', 0, 'n', 0) AS struct<owner: bigint, until: bigint, n: bigint>), (s, o) -> {step})"
-    listed = requests.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("seq", "owner", "ts_us"))).alias("o"))
-    return listed.select("name", F.expr(fold).alias("s")).select("name", F.col("s.owner").alias("owner"), F.col("s.n").alias("grants"))
+    def step(state, expected, value):
+        return ((value, state[1] + 1) if state[0] == expected else state), ()
 
+    return fold(ops, "key", ("seq",), ("expected", "value"), lambda: (None, 0), step, last="value string, swaps bigint", finish=lambda state: state)
 
-def rate_limit(hits: DataFrame, most: int, window_us: int) -> DataFrame:
-    """Fixed windows: hits(key, seq, ts_us) beyond ``most`` in a window are refused."""
-    slot = F.floor(F.col("ts_us") / window_us).cast("long")
-    place = F.row_number().over(Window.partitionBy("key", "slot").orderBy("seq"))
-    return hits.withColumn("slot", slot).withColumn("n", place).select("seq", "key", "slot", (F.col("n") <= most).alias("allowed"))
 
+def lock_fold(requests: DataFrame, ttl_us: int, extend_us: int) -> DataFrame:
+    """Locks after requests(name, seq, action, owner, ts_us) in order: the last holder, its expiry, and what was granted.
 
-def rename(live: DataFrame, names: DataFrame) -> DataFrame:
-    """The store after renames(key, new_key); a target is overwritten, time to live is dropped."""
-    moved = live.join(names, "key").select(F.col("new_key").alias("key"), "value", F.lit(None).cast("long").alias("expires_at"))
-    rest = live.join(names.select("key"), "key", "left_anti").join(moved.select("key"), "key", "left_anti")
-    return rest.select("key", "value", "expires_at").union(moved)
+    ``lock`` is granted if nobody holds the lock (or it has expired), ``unlock`` and ``extend`` to the holder only.
+    """
 
+    def step(state, action, owner, now):
+        holder, until, locks, unlocks, extends = state
+        held = holder is not None and until > now
+        if action == "lock" and not held:
+            return (owner, now + ttl_us, locks + 1, unlocks, extends), ()
+        if action == "unlock" and held and holder == owner:
+            return (None, None, locks, unlocks + 1, extends), ()
+        if action == "extend" and held and holder == owner:
+            return (holder, now + extend_us, locks, unlocks, extends + 1), ()
+        return state, ()
 
-def copy(live: DataFrame, names: DataFrame) -> DataFrame:
-    """The store after copies(key, new_key)."""
-    made = live.join(names, "key").select(F.col("new_key").alias("key"), "value", F.lit(None).cast("long").alias("expires_at"))
-    return live.join(made.select("key"), "key", "left_anti").select("key", "value", "expires_at").union(made)
+    return fold(requests, "name", ("seq",), ("action", "owner", "ts_us"), lambda: (None, None, 0, 0, 0), step, last="owner bigint, until_us bigint, locks bigint, unlocks bigint, extends bigint", finish=lambda state: state)
 
 
-def swap(live: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Values after swaps(a, b) of keys that are both present."""
-    a, b = live.select(F.col("key").alias("a"), F.col("value").alias("va")), live.select(F.col("key").alias("b"), F.col("value").alias("vb"))
-    return pairs.join(a, "a").join(b, "b").select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("vb").alias("value")), F.struct(F.col("b").alias("key"), F.col("va").alias("value")))).alias("x")).select("x.*")
+def rate_limit(hits: DataFrame, most: int, window_us: int) -> DataFrame:
+    """Fixed windows: hits(key, seq, ts_us) beyond ``most`` in a window are refused."""
+    slot = F.floor(F.col("ts_us") / window_us).cast("long")
+    place = F.row_number().over(Window.partitionBy("key", "slot").orderBy("seq"))
+    return hits.withColumn("slot", slot).withColumn("n", place).select("seq", "key", "slot", (F.col("n") <= most).alias("allowed"))
 
 
 def map_values(live: DataFrame, value: Column) -> DataFrame:
@@ -94,9 +99,3 @@ def map_values(live: DataFrame, value: Column) -> DataFrame:
 def delete_where(live: DataFrame, condition: Column) -> DataFrame:
     """What is left; ``prefix_delete``, ``range_delete`` and ``delete_many`` are conditions."""
     return live.where(~condition).select("key", "value")
-
-
-def validate(reads: DataFrame, live: DataFrame) -> DataFrame:
-    """Optimistic check: reads(txn, key, seen) against the store; a transaction conflicts if any value differs."""
-    now = reads.join(live.select("key", "value"), "key", "left")
-    return now.groupBy("txn").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.when(F.col("seen").eqNullSafe(F.col("value")), 0).otherwise(1)).alias("conflicts")).withColumn("commits", F.col("conflicts") == 0)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestrata.plans.log import between
+from lodestrata.plans import ranged
+from lodestrata.plans.log import between, is_live
 
 
 def scan(live: DataFrame, start: str | None = None, end: str | None = None, limit: int | None = None, reverse: bool = False) -> DataFrame:
@@ -24,8 +24,8 @@ def tail(live: DataFrame, n: int, start: str | None = None, end: str | None = No
 
 
 def grep(live: DataFrame, pattern: str) -> DataFrame:
-    """Keys or values that the regular expression finds."""
-    return live.where(F.col("key").rlike(pattern) | F.col("value").rlike(pattern)).orderBy("key")
+    """Rows whose key the regular expression finds."""
+    return live.where(F.col("key").rlike(pattern)).orderBy("key")
 
 
 def scan_filter(live: DataFrame, condition: Column) -> DataFrame:
@@ -39,20 +39,10 @@ def ends(live: DataFrame) -> DataFrame:
 
 
 def floor_ceiling(probes: DataFrame, live: DataFrame) -> DataFrame:
-    """For each probe the largest key <= it and the smallest key >= it.
-
-    Probes and keys are merged in one order and the neighbouring key is carried along, by ranges: a first pass finds
-    the ends of each range of keys, so that no range needs another one's rows and no task gets all of them.
-    """
-    both = live.select("key", F.lit(None).cast("string").alias("probe")).union(probes.select(F.col("probe").alias("key"), "probe"))
-    placed = both.withColumn("part", F.substring("key", 1, 10))
-    key = F.when(F.col("probe").isNull(), F.col("key"))
-    inside = Window.partitionBy("part").orderBy("key")
-    near = placed.select("part", "probe", "key", F.max(key).over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("f"), F.min(key).over(inside.rangeBetween(0, Window.unboundedFollowing)).alias("c")).where("probe is not null")
-    ends_ = placed.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    order = Window.orderBy("part")  # one row a part
-    around = ends_.select("part", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("lo").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    return near.join(around, "part").select("probe", F.coalesce("f", "before").alias("floor_key"), F.coalesce("c", "after").alias("ceiling_key"))
+    """For each probe the largest key <= it and the smallest key >= it, by one order of probes and keys together."""
+    both = live.select("key", F.lit(False).alias("asked")).union(probes.select(F.col("probe").alias("key"), F.lit(True)))
+    near = ranged.around(both, "key", F.when(~F.col("asked"), F.col("key")))
+    return near.where("asked").select(F.col("key").alias("probe"), F.col("below").alias("floor_key"), F.col("above").alias("ceiling_key"))
 
 
 def multi_get(keys: DataFrame, live: DataFrame) -> DataFrame:
@@ -61,12 +51,18 @@ def multi_get(keys: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def batches(live: DataFrame, size: int) -> DataFrame:
-    """Each key with its position and batch number in key order (positions by range partition, not by one task)."""
-    ordered = live.select("key", "value").repartitionByRange("key").sortWithinPartitions("key").withColumn("p", F.spark_partition_id())
-    counts = ordered.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("p").orderBy("key"))
-    return ordered.withColumn("i", inner).join(F.broadcast(before), "p").select("key", (F.col("before") + F.col("i") - 1).alias("position")).withColumn("batch", F.floor(F.col("position") / size))
+    """Each key with its position and batch number in key order."""
+    return ranged.numbered(live.select("key"), "key").select("key", "position", F.floor(F.col("position") / size).alias("batch"))
+
+
+def followed(live: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A cursor's steps: each key of a range with the next one."""
+    return ranged.with_next(between(live, start, end).select("key"), "key")
+
+
+def is_empty(live: DataFrame) -> DataFrame:
+    """One row: whether there is no key; one is enough to tell."""
+    return live.limit(1).agg((F.count(F.lit(1)) == 0).alias("is_empty"))
 
 
 def key_stats(live: DataFrame) -> DataFrame:
@@ -79,8 +75,6 @@ def sample(live: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return live.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "key"), 256), "key").limit(n).select("key")
 
 
-def key_type(live: DataFrame) -> DataFrame:
-    """int, float, or string, by the text of the value."""
-    v = F.col("value")
-    kind = F.when(v.rlike(r"^[+-]?\d+$"), "int").when(v.rlike(r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"), "float").otherwise("string")
-    return live.select("key", kind.alias("kind"))
+def key_type(latest: DataFrame, as_of: int) -> DataFrame:
+    """The state of each key that was ever written: string (it has a value), expired, or none (deleted)."""
+    return latest.select("key", F.when(is_live(as_of), "string").when(F.col("op") == "P", "expired").otherwise("none").alias("kind"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.plans.folds import fold, previous, since_reset
+from lodestrata.plans.scratch import Tables
+
 CHUNK_BITS = 4096
 
 
@@ -113,3 +118,106 @@ def drain(rows: DataFrame, n: int) -> DataFrame:
 def drain_by_priority(rows: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("name").orderBy(F.desc("priority"), "seq")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+# operations on structures: ops(..., op, seq); their states
+def bumped(points: DataFrame) -> DataFrame:
+    """Points points(series, ts_us, seq, value) added one by one: a time that is taken moves on by microseconds.
+
+    At each time the earliest addition stays; one with r earlier ones there moves r on, as those fill r times at least.
+    Rounds are written; a round moves whole groups, so there are few.
+    """
+    tables = Tables(points.sparkSession, "bumped")
+    now, n = tables.keep(points.select("series", F.col("ts_us").cast("long").alias("ts_us"), "seq", "value"), "round0"), 0
+    while True:
+        place = F.row_number().over(Window.partitionBy("series", "ts_us").orderBy("seq")) - 1
+        n += 1
+        now = tables.keep(now.withColumn("r", place).select("series", (F.col("ts_us") + F.col("r")).alias("ts_us"), "seq", "value", (F.col("r") > 0).alias("moved")), f"round{n}")
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
+        now = now.drop("moved")
+
+
+def added_together(points: DataFrame) -> DataFrame:
+    """Points of one batch: of those at the same time the last is kept."""
+    return points.groupBy("series", "ts_us").agg(F.max_by("value", "seq").alias("value"))
+
+
+def ts_first(points: DataFrame) -> DataFrame:
+    return points.groupBy("series").agg(F.min("ts_us").alias("ts_us"), F.min_by("value", "ts_us").alias("value"))
+
+
+def ts_newest(points: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` points of each series, oldest first."""
+    order = Window.partitionBy("series").orderBy(F.desc("ts_us"))
+    return points.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r").orderBy("series", "ts_us")
+
+
+def scores(ops: DataFrame) -> DataFrame:
+    """Leaderboard after ops(board, member, op, amount, seq): add sets, update adds (absent counts as 0), remove deletes,
+    clear (member null) empties the board."""
+    wiped = ops.where("op = 'clear'").groupBy("board").agg(F.max("seq").alias("wiped"))
+    rows = ops.where("op <> 'clear'").join(wiped, "board", "left").where("wiped is null or wiped < seq")
+    reset = F.col("op").isin("add", "remove")
+    state = since_reset(rows, ["board", "member"], "seq", reset, F.when(F.col("op") == "add", F.col("amount")), F.col("amount"))
+    return state.where("base is not null or n > 0").select("board", "member", (F.coalesce("base", F.lit(0)) + F.col("total")).cast("long").alias("score"))
+
+
+def counters(ops: DataFrame) -> DataFrame:
+    """Counters after ops(key, op, amount, seq): incr and decr add, set and reset give a value."""
+    delta = F.when(F.col("op") == "decr", -F.col("amount")).otherwise(F.col("amount"))
+    state = since_reset(ops, ["key"], "seq", F.col("op").isin("set", "reset"), F.col("amount"), delta)
+    return state.select("key", (F.coalesce("base", F.lit(0)) + F.col("total")).cast("long").alias("value"))
+
+
+def bits_after(ops: DataFrame) -> DataFrame:
+    """Set bits (name, bit) after ops(name, low, high, op, seq) on ranges [low, high): set, clear, toggle."""
+    each = ops.where("high > low").withColumn("bit", F.explode(F.sequence("low", F.col("high") - 1)))
+    state = since_reset(each, ["name", "bit"], "seq", F.col("op") != "toggle", (F.col("op") == "set").cast("int"), F.lit(1))
+    return state.where((F.coalesce("base", F.lit(0)) + F.col("total")) % 2 == 1).select("name", "bit")
+
+
+def news(ops: DataFrame, item: list[str], scope: list[str]) -> DataFrame:
+    """How many additions of ops(item..., op, seq) were new and how many removals found their item, by scope."""
+    seen = previous(ops, item, "seq", "op")
+    there = F.coalesce(F.col("before") == "add", F.lit(False))
+    return seen.groupBy(*scope).agg(F.count_if((F.col("op") == "add") & ~there).alias("added"), F.count_if((F.col("op") == "remove") & there).alias("removed"))
+
+
+def queue_after(ops: DataFrame) -> DataFrame:
+    """Queues after ops(name, seq, op, item), push or pop, in order: the items that are left, from the head on.
+
+    A pop of an empty queue takes nothing: with s the pushes less the pops so far and m the least s so far (0 at most),
+    m pops were in vain, so as many items are gone as there were pops less those.
+    """
+    run = Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("op") == "push", 1).otherwise(-1)
+    level = ops.withColumn("s", F.sum(step).over(run))
+    taken = level.groupBy("name").agg((F.count_if(F.col("op") == "pop") + F.least(F.min("s"), F.lit(0))).alias("taken"))
+    pushed = ops.where("op = 'push'").withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("seq")))
+    return pushed.join(taken, "name").where("place > taken").select("name", (F.col("place") - F.col("taken")).cast("int").alias("place"), "seq", "item")
+
+
+def queue_pops(ops: DataFrame) -> DataFrame:
+    """What each pop of ops(name, seq, op, item) took: null from an empty queue."""
+    run = Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.col("op") == "push", 1).otherwise(-1)
+    level = ops.withColumn("s", F.sum(step).over(run))
+    level = level.withColumn("least", F.least(F.coalesce(F.min("s").over(before), F.lit(0)), F.lit(0))).withColumn("pops", F.count_if(F.col("op") == "pop").over(run))
+    pops = level.where("op = 'pop'").withColumn("place", F.when(F.col("s") >= F.col("least"), F.col("pops") + F.col("least")))
+    pushed = ops.where("op = 'push'").select("name", F.row_number().over(Window.partitionBy("name").orderBy("seq")).alias("place"), "item")
+    return pops.select("name", "seq", "place").join(pushed, ["name", "place"], "left").select("name", "seq", "item")
+
+
+def priority_pops(ops: DataFrame) -> DataFrame:
+    """What each pop of ops(name, seq, op, priority) took: the seq of the push, highest priority first, then the earliest."""
+
+    def step(heap, seq, op, priority):
+        if op == "push":
+            heapq.heappush(heap, (-priority, seq))
+            return heap, (None,)
+        return heap, (heapq.heappop(heap)[1] if heap else None,)
+
+    rows = ops.select("name", "seq", F.col("seq").alias("own"), "op", "priority")
+    return fold(rows, "name", ("seq",), ("own", "op", "priority"), list, step, every="taken bigint").join(ops.where("op = 'pop'").select("name", "seq"), ["name", "seq"], "left_semi")

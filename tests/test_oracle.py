@@ -14,6 +14,10 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries whose right answer is no row here: a namespace has no key of this number.
+EMPTY = {"ns_get"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -41,4 +45,4 @@ def test_same_rows(spark, duck, name):
     want = sorted((tuple(plain(r[i]) for i in order) for r in cur.fetchall()), key=repr)
     assert sorted(df.columns) == sorted(names)
     assert got == want
-    assert got
+    assert got or name in EMPTY
