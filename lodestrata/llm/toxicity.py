@@ -1,13 +1,16 @@
 """Toxicity by multiple-instance learning: sentence scores, joined by noisy-or, learned from document labels.
 
-A sentence scores p = sigmoid(b + sum of the weights of its features); a document scores 1 - product(1 - p), so a
-single offending sentence is enough, and the sentences with high p show where it is.  Features are words (lower case,
-without punctuation) and their beginnings of 4 to 8 bytes.  Which are features, and their weights, are learned from labelled documents of which at
-most ``sample`` are used, chosen by a hash of doc_id; scoring reads every whole text.
+A sentence scores p = sigmoid(b + sum of the weights of its features).  A document scores 1 - (1 - p0) product(1 - q),
+where p0 = sigmoid(b) counts once, for whatever no feature tells, and 1 - q = (1 - p) / (1 - p0), 1 at most, is what a
+sentence adds: a single offending sentence is enough, sentences without a feature add nothing however many there are,
+and clean ones do not make up for it.  Sentences with high p show where the offence is.  Features are words (lower
+case, without punctuation) and their beginnings of 4 to 8 bytes.  Which are features, and their weights, are learned
+from labelled documents of which at most ``sample`` are used, chosen by a hash of doc_id; scoring reads every whole
+text.
 
 Defined cases: a null or empty text is one sentence without features; labels that contradict each other count as
-toxic; without toxic labels every score is near 0; repeated rows are scored one by one; a null doc_id is scored
-(held_out is false); other columns are ignored.
+toxic; of a labelled doc_id with several texts the smallest teaches; without toxic labels every score is near 0;
+repeated rows are scored one by one; a null doc_id is scored (held_out is false); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,36 +86,33 @@ def _pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sentence: np.
     return pair // k, pair % k
 
 
-def _filled(sentence: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Sentences with a word of each row, one at least."""
-    if not len(sentence):
-        return np.ones(rows, dtype=np.int64)
-    first = np.concatenate([[True], sentence[1:] != sentence[:-1]])
-    return np.maximum(np.bincount(row[first], minlength=rows), 1)
-
-
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, count: np.ndarray, y: np.ndarray, features: np.ndarray, steps: int = 400, decay: float = 2e-3) -> Model:
+def _adds(z: np.ndarray, bias: float) -> np.ndarray:
+    """What sentences add to the exponent of a document's noisy-or."""
+    return np.maximum(_softplus(z) - _softplus(bias), 0)
+
+
+def fit(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, y: np.ndarray, features: np.ndarray, steps: int = 400, decay: float = 2e-3) -> Model:
     """Weights by Adam on the log-likelihood of the noisy-or.
 
-    ``doc``, ``sentence`` (numbers) and ``feature`` list each distinct feature of each sentence that has one; ``count``
-    is the number of sentences of each document, ``y`` its label.
+    ``doc``, ``sentence`` (numbers) and ``feature`` list each distinct feature of each sentence that has one; ``y`` is
+    the label of each document.
     """
     key, own = np.unique(sentence, return_inverse=True)
     owner = np.zeros(len(key), dtype=np.int64)
     owner[own] = doc
-    bare = count - np.bincount(owner, minlength=len(count))
     w, b = np.zeros(len(features)), -7.0
     m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(own, weights=w[feature], minlength=len(key))
-        total = np.bincount(owner, weights=_softplus(z), minlength=len(count)) + bare * _softplus(b)
+        total = _softplus(b) + np.bincount(owner, weights=_adds(z, b), minlength=len(y))
         pull = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0)
-        gz = pull[owner] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, weights=gz[own], minlength=len(w)), gz.sum() + (pull * bare).sum() / (1 + np.exp(-b))) / len(count)
+        counts = pull[owner] * (z >= b)
+        gz, base = counts / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        grad = np.append(np.bincount(feature, weights=gz[own], minlength=len(w)), gz.sum() + (pull.sum() - counts.sum()) * base) / len(y)
         grad[:-1] += decay * w / max(1, len(w)) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
     marked = (marked if use is None else marked.where(use)).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: broadcast below
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text"), "sample")
+    rows = scratch.keep(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,16 +166,15 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
                 starts, ends, row, sentence, base = _words(data, offs)
                 s, f = _pairs(data, starts, ends, sentence, chosen_features)
                 cut = np.searchsorted(s, base)
-                count = _filled(sentence, row, rows)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, rows), pa.array(count), pa.array([s[a:b] - n for a, b, n in zip(cut, cut[1:], base, strict=False)], type=pa.list_(pa.int64())), pa.array([f[a:b] for a, b in zip(cut, cut[1:], strict=False)], type=pa.list_(pa.int64()))], names=["y", "n", "s", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, rows), pa.array([s[a:b] - n for a, b, n in zip(cut, cut[1:], base, strict=False)], type=pa.list_(pa.int64())), pa.array([f[a:b] for a, b in zip(cut, cut[1:], strict=False)], type=pa.list_(pa.int64()))], names=["y", "s", "f"])
 
-    got = rows.mapInArrow(spread, "y long, n long, s array<long>, f array<long>").toArrow()  # at most ``sample`` rows
-    y, count = got.column("y").to_numpy(), got.column("n").to_numpy()
+    got = rows.mapInArrow(spread, "y long, s array<long>, f array<long>").toArrow()  # at most ``sample`` rows
+    y = got.column("y").to_numpy()
     size = np.array([len(x) for x in got.column("s").to_pylist()], dtype=np.int64)
     s, f = (np.concatenate([np.zeros(0, dtype=np.int64), *(c.flatten().to_numpy() for c in got.column(k).chunks)]).astype(np.int64) for k in ("s", "f"))
     doc = np.repeat(np.arange(len(y)), size)
     top = int(s.max()) + 1 if len(s) else 1
-    return fit(doc, doc * top + s, f, count, y, chosen_features)
+    return fit(doc, doc * top + s, f, y, chosen_features)
 
 
 def score_arrays(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +185,7 @@ def score_arrays(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.n
     key, own = np.unique(s, return_inverse=True)
     z = model.bias + np.bincount(own, weights=model.weights[f], minlength=len(key)) if len(key) else np.zeros(0)
     of = np.searchsorted(base, key, side="right") - 1
-    count = _filled(sentence, row, rows)
-    total = np.bincount(of, weights=_softplus(z), minlength=rows)[:rows] + (count - np.bincount(of, minlength=rows)[:rows]) * _softplus(np.float64(model.bias))
+    total = _softplus(model.bias) + np.bincount(of, weights=_adds(z, model.bias), minlength=rows)[:rows]
     best = np.full(rows, -1, dtype=np.int64)
     order = np.lexsort((-np.arange(len(z)), z))
     best[of[order]] = order  # the last written is the best

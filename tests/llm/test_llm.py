@@ -567,14 +567,71 @@ def test_conversation_rows_odd(spark):
 
 
 def test_op6_held_out(spark):
-    out = queries.op6_toxicity(spark, "/root/testdata/sf0.01").toPandas()
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
-    assert len(out) == 1000 and ((out.score >= 0) & (out.score <= 1)).all() and (out.predicted == (out.score >= 0.3)).all()
+    """Documents that were not learned from, at sf0.1: ranking, recall and false positives at the threshold."""
+    out = queries.op6_toxicity(spark, "/root/testdata/sf0.1").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
+    assert len(out) == 10_000 and ((out.score >= 0) & (out.score <= 1)).all() and (out.predicted == (out.score >= 0.3)).all()
     assert (out.held_out == [zlib.crc32(str(d).encode()) % 4 == 2 for d in out.doc_id]).all()
     j = out.merge(labels, on="doc_id")
-    seen = j[~j.held_out]
-    a, b = seen[seen.toxic == 1].score.to_numpy(), seen[seen.toxic == 0].score.to_numpy()
-    assert (a[:, None] > b[None, :]).mean() > 0.9
+    held = j[j.held_out]
+    a, b = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
+    assert len(a) > 100 and len(b) > 800
+    above = (a[:, None] > b[None, :]).mean() + (a[:, None] == b[None, :]).mean() / 2
+    assert above > 0.95 and (a >= 0.3).mean() > 0.85 and (b >= 0.3).mean() < 0.02
+
+
+def plain_scores(model, texts):
+    """Noisy-or by a plain reading of its definition."""
+    def h(word):
+        raw = np.frombuffer(word, dtype=np.uint8)
+        return int(toxicity.tv.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    weight = dict(zip(model.features.tolist(), model.weights, strict=True))
+    p0 = 1 / (1 + np.exp(-model.bias))
+    out = []
+    for text in texts:
+        none = 1 - p0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            found = set()
+            for w in re.findall(rb"[0-9A-Za-z'\x80-\xff]+", sentence):
+                w = w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+                found.add(h(w))
+                found |= {h(w[:k]) ^ 0x517CC1B727220A95 for k in toxicity.BEGINNINGS if len(w) > k}
+            z = model.bias + sum(weight.get(f, 0.0) for f in found)
+            none *= min(1.0, (1 - 1 / (1 + np.exp(-z))) / (1 - p0))
+        out.append(1 - none)
+    return out
+
+
+def test_toxicity_is_the_noisy_or_of_sentences(spark):
+    good = [f"day{i} tree river. calm house{i} day." for i in range(60)]
+    bad = [f"day{i} tree. you Vilewretch go! calm é house{i}. some dirtbag too" for i in range(30)]
+    texts = good + bad + ODD
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    rows = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).where("doc_id is not null").collect()}
+    assert np.allclose([rows[i] for i in range(len(texts))], plain_scores(model, texts), atol=1e-9)
+
+
+def test_toxicity_does_not_grow_with_length(spark):
+    """Thousands of sentences without a learned feature, clean or without toxic labels, stay where one is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), use=~toxicity.held_out())
+    plain = [("zq zx zv. " * n, ) for n in (1, 600, 5000)]
+    texts = spark.createDataFrame([(i, *x) for i, x in enumerate(plain)], "doc_id long, text string")
+    for m in (model, toxicity.Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -7.0)):
+        got = [r["score"] for r in toxicity.score(texts, m).orderBy("doc_id").collect()]
+        assert got[0] == got[1] == got[2] < 0.05
+
+
+def test_toxicity_of_repeated_labelled_ids(spark):
+    """Of a labelled doc_id with several texts the smallest teaches, whatever the order of rows."""
+    rows = [(i, f"calm day{i}") for i in range(40)] + [(i, f"filthword day{i}") for i in range(40, 60)] + [(i, "zzz later text") for i in range(40, 60)]
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(60)], "doc_id long, toxic int")
+    models = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert models[0].bias == pytest.approx(models[1].bias) and np.allclose(models[0].weights, models[1].weights)
+    assert toxicity.score(spark.createDataFrame([(0, "filthword")], "doc_id long, text string"), models[0]).first()["predicted"] == 1
 
 
 def test_toxicity_finds_the_sentence(spark):
@@ -656,6 +713,61 @@ def test_op9_held_out(spark, odd):
     assert {r["lang_pred"] for r in language.predict(odd, language.train(docs.limit(0))).collect()} == {"und"}
 
 
+def plain_mixture(model, text, least):
+    """Expectation-maximisation and the penalised choice for one text, term by term."""
+    row, g = language.trigrams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    size = len(model.languages)
+
+    def em(share, steps):
+        for _ in range(steps):
+            like, total = 0.0, np.zeros(size)
+            for x in g:
+                part = [model.chance[x, k] * share[k] for k in range(size)]
+                like += np.log(sum(part))
+                total += np.array(part) / sum(part)
+            share = total / len(g)
+        return share, like
+
+    full, _ = em(np.full(size, 1 / size), language.STEPS)
+    order = sorted(range(size), key=lambda k: (-full[k], k))
+    best = (-np.inf, None)
+    for m in range(1, max(1, sum(full >= least)) + 1):
+        start = np.array([full[k] + 1e-6 if k in order[:m] else 0.0 for k in range(size)])
+        share, like = em(start / start.sum(), 1 if m == 1 else 5)
+        best = max(best, (like - language.PENALTY * (m - 1) * np.log(len(g) + 1), share.tolist()))
+    return best[1]
+
+
+def test_language_mixtures(spark):
+    """Documents of one, two and three languages: proportions as by plain expectation-maximisation, and the right sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and n_chars > 300")
+    model = language.train(docs.where(language.teaching()))
+    by = {r["lang"]: r["text"] for r in docs.where(language.held_out()).select("lang", "text").collect()}
+    names = sorted(by)
+    assert len(names) >= 3
+    cases = {(a,): by[a][:300] for a in names}
+    cases |= {(a, b): by[a][:300] + " " + by[b][:300] for a in names for b in names if a < b}
+    cases |= {tuple(names[:3]): " ".join(by[a][:300] for a in names[:3])}
+    texts = list(cases.values())
+    raw = "".join(texts).encode()
+    offs = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])])
+    for least in (0.0, language.LEAST, 0.2):
+        share, known = language.infer(model, np.frombuffer(raw, np.uint8), offs, least)
+        assert known.all() and np.allclose(share.sum(axis=1), 1)
+        for k in (0, len(names), len(texts) - 1):
+            assert np.allclose(share[k], plain_mixture(model, texts[k], least), atol=1e-8)
+    share, _ = language.infer(model, np.frombuffer(raw, np.uint8), offs, 0.0)
+    for found, want in zip(share, cases, strict=True):
+        assert {n for n, s in zip(model.languages, found, strict=True) if s > 0.1} == set(want)
+        assert all(abs(found[model.languages.index(n)] - 1 / len(want)) < 0.15 for n in want)
+
+
+def test_language_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = language.train(spark.createDataFrame([(1, "some words here", "en"), (2, "andere worte hier", "de")], "doc_id long, text string, lang string"))
+    assert language.predict(empty, model).count() == 0 and language.keep(empty, model, 0.4).count() == 0
+
+
 # --- pages and pipeline ---------------------------------------------------------------------------------------------------
 
 
