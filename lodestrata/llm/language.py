@@ -3,8 +3,8 @@
 A text is its counts of byte trigrams (letters in lower case, everything between words one space), in 2^14 buckets.
 Each learned language gives every trigram a probability; expectation-maximisation finds the proportions under which
 the mixture makes the text likeliest.  The set of languages is then chosen by penalised likelihood: of the sets of
-the most proportioned one, two or three languages, each fitted again, the one with the best likelihood less a penalty
-for each further language.  The prediction is the largest proportion in that set, and the score is that proportion.
+the most proportioned one, two, three ... languages, each fitted again, the one with the best likelihood less a penalty
+for each further language.  Sets hold languages with a proportion of ``least`` or more among all (0: any number).  The prediction is the largest proportion in that set, and the score is that proportion.
 
 Learning uses at most ``sample`` documents a language, chosen by a hash; prediction reads every whole text.
 
@@ -28,7 +28,9 @@ from lodestrata.llm import subwords as sw
 from lodestrata.llm import textvec as tv
 from lodestrata.llm.runtime import Scratch, ship
 
-SAMPLE, BITS, STEPS, MOST = 1000, 14, 10, 3
+SAMPLE, BITS, STEPS = 1000, 14, 10
+#: Proportion among all languages that a language of a chosen set has at least.
+LEAST = 0.002
 #: Ranges of the hash by which rows are counted: 2 to this power.
 RANGE_BITS = 14
 #: Nats that a further language must gain, times the logarithm of the number of trigrams (which overlap threefold).
@@ -126,7 +128,7 @@ def _mix(chance: np.ndarray, c: np.ndarray, head: np.ndarray, row: np.ndarray, s
     return share, np.add.reduceat(c * np.log(whole), head)
 
 
-def infer(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def infer(model: Model, data: np.ndarray, offs: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (rows x languages) under the chosen set, and whether the row has any (a letter and a trigram)."""
     rows, size = len(offs) - 1, len(model.languages)
     share = np.zeros((rows, size))
@@ -151,20 +153,26 @@ def infer(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
         order = np.argsort(-full, axis=1, kind="stable")
         grams = np.add.reduceat(c, head)
         best, chosen = np.full(len(there), -np.inf), np.zeros_like(full)
-        for m in range(1, min(MOST, size) + 1):
-            mask = np.zeros_like(full)
-            np.put_along_axis(mask, order[:, :m], 1.0, axis=1)
-            start = mask * (full + 1e-6)
-            now, like = _mix(chance, c, head, own, start / start.sum(axis=1, keepdims=True), 1 if m == 1 else 5)
-            worth = like - PENALTY * (m - 1) * np.log(grams + 1)
-            better = worth > best
-            best[better], chosen[better] = worth[better], now[better]
+        width = np.maximum((full >= least).sum(axis=1), 1)
+        some, cells = np.arange(len(there)), np.arange(len(c))
+        for m in range(1, int(width.max()) + 1):
+            keep = width[some] >= m  # rows that have sets of this size
+            if not keep.all():
+                cells = cells[width[own[cells]] >= m]
+                some = some[keep]
+            inner = np.searchsorted(some, own[cells])
+            start = np.zeros((len(some), size))
+            np.put_along_axis(start, order[some, :m], np.take_along_axis(full[some], order[some, :m], axis=1) + 1e-6, axis=1)
+            now, like = _mix(chance[cells], c[cells], np.searchsorted(inner, np.arange(len(some))), inner, start / start.sum(axis=1, keepdims=True), 1 if m == 1 else 5)
+            worth = like - PENALTY * (m - 1) * np.log(grams[some] + 1)
+            better = worth > best[some]
+            best[some[better]], chosen[some[better]] = worth[better], now[better]
         share[there] = chosen
     share[~known] = 0
     return share, known
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, lang_pred, score, languages (the chosen set with proportions, largest first)."""
     ship(docs.sparkSession)
 
@@ -172,7 +180,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         names = np.array([*model.languages, "und"])
         for batch in batches:
             for first, data, offs in tv.chunks(batch.column(1)):
-                share, known = infer(model, data, offs)
+                share, known = infer(model, data, offs, least)
                 top = np.where(known, share.argmax(axis=1) if share.shape[1] else 0, len(names) - 1)
                 score = np.where(known, share.max(axis=1) if share.shape[1] else 0.0, 0.0)
                 sets = [";".join(f"{names[k]}:{s[k]:.3f}" for k in np.argsort(-s, kind="stable") if s[k] > 0) for s in share]
