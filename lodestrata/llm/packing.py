@@ -2,7 +2,8 @@
 
 Documents become ids plus an end id; longer ones are cut so that every piece but the first is full.  A full piece is
 a sequence by itself.  The others are packed by the sum-of-squares rule: a piece goes where the sum, over residual
-gaps, of the squared number of open sequences with that gap becomes smallest.  Lengths alone decide, so only small
+gaps, of the squared number of open sequences with that gap becomes smallest.  Gaps are counted one by one and in
+classes of several widths, and the packing with fewest sequences is taken.  Lengths alone decide, so only small
 rows are dealt out, by their place and not by what they hold, so that repeated rows do not meet: groups of a
 documented size are packed independently, each in one bounded task; what lies in
 sequences that are not full is packed again, first within the group, then once together with all other groups'.
@@ -27,17 +28,22 @@ from lodestrata.llm.runtime import Scratch, ship
 
 #: Pieces that one task packs: more leave fewer part-filled sequences, fewer make smaller tasks.
 GROUP_PIECES = 8192
+#: Widths of gap classes that are tried on all pieces of a group, and on those of part-filled sequences.
+FIRST_WIDTHS, WIDTHS = (1, 16, 256), (1, 4, 16, 64, 256)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long"
 
 
-def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def place(lengths: np.ndarray, size: int, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum-of-squares placement, longest first: (sequence, offset) of each piece, and the fill of each sequence.
 
-    With N(h) open sequences filled to h, putting a piece of s on a fill of h changes the sum of squares by
-    2 (N(h + s) - N(h)) + 2, by 2 N(s) + 1 for a new sequence, and by 1 - 2 N(h) where the sequence becomes full.
-    Ties go to the fullest sequence.
+    Residual gaps are counted in classes ``width`` tokens wide (1: each gap by itself); those of less than ``width``
+    count as closed.  With N(a) open sequences in class a, moving one from a to b changes the sum of squares by
+    2 (N(b) - N(a)) + 2, by 0 if a = b, by 1 - 2 N(a) where it becomes closed; a new sequence adds 2 N(b) + 1.  Ties go
+    to the fullest sequence.
     """
     order = np.argsort(-lengths, kind="stable")
+    class_of = (size - np.arange(size + 1)) // width  # of a sequence filled so far
+    inside = np.zeros(int(class_of.max()) + 1, dtype=np.int64)
     count = np.zeros(size + 1, dtype=np.int64)
     open_at: list[list[int]] = [[] for _ in range(size + 1)]
     fill: list[int] = []
@@ -47,37 +53,53 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
         top = size - s  # fills up to this have room
         h = 0
         if top > 0:
-            here = count[1 : top + 1]
-            change = 2 * (count[1 + s : size + 1] - here) + 2
-            change[-1] = 1 - 2 * here[-1]  # becomes full: nothing is open there
-            change[here == 0] = far
+            a, b = class_of[1 : top + 1], class_of[1 + s : size + 1]
+            left = inside[a]
+            change = np.where(b == 0, 1 - 2 * left, 2 * (inside[b] - left) + 2)
+            change[a == b] = 0
+            change[count[1 : top + 1] == 0] = far
             best = top - 1 - int(change[::-1].argmin())
-            if change[best] < 2 * count[s] + 1 and here[best]:
+            fresh = 2 * inside[class_of[s]] + 1 if class_of[s] else 0
+            if change[best] < min(fresh, far):
                 h = best + 1
         if h:
-            b = open_at[h].pop()
+            k = open_at[h].pop()
             count[h] -= 1
+            inside[class_of[h]] -= class_of[h] > 0
         else:
-            b = len(fill)
+            k = len(fill)
             fill.append(0)
-        sequence[i], offset[i] = b, h
-        fill[b] = h + s
+        sequence[i], offset[i] = k, h
+        fill[k] = h + s
         if h + s < size:
-            open_at[h + s].append(b)
+            open_at[h + s].append(k)
             count[h + s] += 1
+            inside[class_of[h + s]] += class_of[h + s] > 0
     return sequence, offset, np.array(fill, dtype=np.int64)
 
 
+def place_best(lengths: np.ndarray, size: int, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`place` with each width of gap classes; the one with fewest sequences (the first of equals)."""
+    least, best = -(-int(lengths.sum()) // size), None
+    for width in widths:
+        now = place(lengths, size, min(width, size))
+        if best is None or len(now[2]) < len(best[2]):
+            best = now
+        if len(best[2]) <= least:
+            break
+    return best
+
+
 def place_repeatedly(lengths: np.ndarray, size: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`place`, then the pieces of sequences that are not full are taken out and placed again by the same rule,
-    as long as that saves sequences."""
-    sequence, offset, fill = place(lengths, size)
+    """:func:`place_best`, then the pieces of sequences that are not full are taken out and placed again by the same
+    rule, as long as that saves sequences."""
+    sequence, offset, fill = place_best(lengths, size, FIRST_WIDTHS)
     loose = np.arange(len(lengths))
     for _ in range(rounds):
         loose = loose[fill[sequence[loose]] < size]
         if not len(loose):
             break
-        inner, shift, fresh = place(lengths[loose], size)
+        inner, shift, fresh = place_best(lengths[loose], size, WIDTHS)
         before = len(np.unique(sequence[loose]))
         if len(fresh) >= before:
             break

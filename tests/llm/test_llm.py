@@ -164,23 +164,22 @@ def test_op8(spark, texts, odd):
 # --- packing and token files ----------------------------------------------------------------------------------------------
 
 
-def test_place_follows_the_rule():
+@pytest.mark.parametrize("width", [1, 3, 8])
+def test_place_follows_the_rule(width):
     """Against a plain reading of the rule: the sum of squares after each placement is the smallest possible."""
     rng = np.random.default_rng(4)
     size, lengths = 20, rng.integers(1, 20, 60)
-    sequence, offset, fill = packing.place(lengths, size)
+    sequence, offset, fill = packing.place(lengths, size, width)
     level: dict[int, int] = {}
     for i in np.argsort(-lengths, kind="stable"):
         s, b, h = int(lengths[i]), int(sequence[i]), int(offset[i])
-        counts = Counter(x for x in level.values() if x < size)
 
         def after(at):
-            c = counts.copy()
+            fills = list(level.values())
             if at:
-                c[at] -= 1
-            if at + s < size:
-                c[at + s] += 1
-            return sum(n * n for n in c.values())
+                fills.remove(at)
+            classes = Counter((size - x) // width for x in [*fills, at + s])
+            return sum(n * n for c, n in classes.items() if c)
 
         choices = [0, *[x for x in set(level.values()) if x + s <= size and x < size]]
         assert level.get(b, 0) == h
@@ -189,6 +188,13 @@ def test_place_follows_the_rule():
     assert [level[b] for b in sorted(level)] == fill.tolist()
 
 
+@pytest.mark.parametrize(("size", "more"), [("sf0.01", 0.008), ("sf0.1", 0.002)])
+def test_few_sequences(spark, size, more):
+    """Sequences beyond the number that the tokens need at least."""
+    rows = queries.op1_pack(spark, f"/root/testdata/{size}").agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("k")).first()
+    assert rows["k"] <= (1 + more) * -(-rows["n"] // 1024)
+
+
 def check_packed(rows, ids_of, size, end):
     by_doc, by_seq = {}, {}
     for r in rows:
