@@ -2,7 +2,8 @@
 
 Pass 1 encodes every text once and writes its ids to a shared table; ids are counted there (each task sends at most one
 row an id) and ranked: the most frequent id gets rank 0.  Pass 2 codes each document by ranks, deals documents to shards
-by ranges of doc_id, and each shard's task streams them, in order, into one file.  A rank takes 1 to 4 bytes; 2 bits a rank in the control bytes say how many.  Reading looks the
+of about equal bytes, by ranges of (doc_id, checksum, row), so that neither long documents nor a doc_id of many rows
+fill one shard, and each shard's task streams them, in order, into one file.  A rank takes 1 to 4 bytes; 2 bits a rank in the control bytes say how many.  Reading looks the
 lengths of four ranks up by control byte and gathers the data with numpy.
 
 File (little endian): ``LSVB0001``, then for each document its control bytes and its data bytes, then arrays of
@@ -13,11 +14,13 @@ A task writes a file under a name of its own and reports it in the manifest; onl
 repeated or lost tasks do no harm.  The folder must be one that pyarrow's file systems open on all machines.
 
 Defined cases: a null text is empty (one id: the end id); a null doc_id comes before all others; rows that share a
-doc_id stay, in the order of their checksums; an empty table gives no files and an empty result.
+doc_id stay, in the order of their checksums; long texts and repeated ids are dealt like others; an empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +35,11 @@ from lodestrata.llm import subwords as sw
 from lodestrata.llm.runtime import Scratch, ship
 
 MAGIC = b"LSVB0001"
-SHARD_BYTES = 32 << 20
+#: Stands for a null doc_id in the order of rows.
+NULL_ID = -(1 << 63)
+SHARD_BYTES = 16 << 20
+#: Shards at most (they become larger instead), and rows sampled a shard to find their bounds: the driver holds those.
+MOST_SHARDS, SAMPLE_ROWS = 50_000, 20
 #: Lengths of the four ranks of each control byte, and the mask of each length.
 LENGTHS = np.array([[(c >> (2 * j) & 3) + 1 for j in range(4)] for c in range(256)], dtype=np.int64)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
@@ -110,6 +117,36 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids", "wide").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def shard_bounds(encoded: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First (doc_id, crc, lot) of each shard but the first, from a sample in which a row's chance grows with its bytes."""
+    size = F.octet_length("ids").cast("double")
+    total = encoded.agg(F.coalesce(F.sum(size), F.lit(0.0)).alias("b")).first()["b"]
+    shards = min(MOST_SHARDS, max(1, math.ceil(total / shard_bytes)))
+    if shards == 1:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    step = total / max(2000, SAMPLE_ROWS * shards)  # bytes that a sampled row stands for at least
+    chance = F.pmod(F.xxhash64("lot"), F.lit(1 << 30)) / float(1 << 30)
+    rows = encoded.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "crc", "lot", F.greatest(size, F.lit(step)).alias("w")).where(chance * step < size).toArrow()
+    d, c, k, w = (rows.column(x).to_numpy() for x in ("d", "crc", "lot", "w"))
+    order = np.lexsort((k, c, d))
+    seen = np.cumsum(w[order])
+    cut = np.unique(np.searchsorted(seen, seen[-1] * np.arange(1, shards) / shards)) if len(seen) else np.zeros(0, dtype=np.int64)
+    cut = cut[cut > 0]
+    return d[order][cut], c[order][cut], k[order][cut]
+
+
+def shards_of(bounds: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The number of bounds that are not above each (doc_id, crc, lot)."""
+    low, high = np.searchsorted(bounds[0], d, side="left"), np.searchsorted(bounds[0], d, side="right")
+    inner: dict[int, list[tuple[int, int]]] = {}
+    for r in np.flatnonzero(low < high).tolist():  # rows of a doc_id that bounds divide
+        a, b = int(low[r]), int(high[r])
+        if a not in inner:
+            inner[a] = list(zip(bounds[1][a:b].tolist(), bounds[2][a:b].tolist(), strict=True))
+        low[r] = a + bisect.bisect_right(inner[a], (int(c[r]), int(k[r])))
+    return low
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; returns the manifest (shard, path, n_docs, n_tokens, base: ids in the shards before)."""
     spark = docs.sparkSession
@@ -117,11 +154,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
     scratch = Scratch(spark, "tokenfiles")
     folder = (folder or f"{scratch.path}/files").rstrip("/")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    total = source.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    shards = max(1, -(-total["bytes"] // shard_bytes))
-    cuts = source.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 20 * shards)).alias("c")).first()["c"] if shards > 1 else []
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
-    encoded = scratch.keep(encode_texts(source, tokenizer, end_id), "encoded")
+    encoded = scratch.keep(encode_texts(source, tokenizer, end_id).withColumn("lot", F.monotonically_increasing_id()), "encoded")
+    bounds = shard_bounds(encoded, shard_bytes)
     counts = {end_id: 0} | {r["id"]: r["n"] for r in count_ids(encoded).collect()}  # as many rows as the vocabulary has ids
     by_rank = np.array(sorted(counts, key=lambda i: (-counts[i], i)), dtype="<u4")
     rank_of = np.zeros(int(by_rank.max()) + 1, dtype=np.uint32)
@@ -134,13 +168,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0)
-            shard = np.where(names.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, names.fill_null(0).to_numpy(), side="right"))
+            lot = batch.column(5)
+            shard = shards_of(bounds, names.fill_null(NULL_ID).to_numpy(), batch.column(2).to_numpy(), lot.to_numpy())
             control, data = [], []
             for raw, wide in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 c, d = encode(rank_of[_ids(raw, wide)])
                 control.append(c)
                 data.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), names, batch.column(1), batch.column(2), pa.array(control, type=pa.binary()), pa.array(data, type=pa.binary())], names=["shard", "doc_id", "n", "crc", "control", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), names, batch.column(1), batch.column(2), pa.array(control, type=pa.binary()), pa.array(data, type=pa.binary()), lot], names=["shard", "doc_id", "n", "crc", "control", "data", "lot"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base, out, shard = *open_folder(folder), None, 0
@@ -169,8 +204,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard], type=pa.int32()), pa.array([path]), pa.array([len(count)], type=pa.int64()), pa.array([int(count.sum())], type=pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
-    coded = encoded.mapInArrow(run, "shard int, doc_id long, n long, crc long, control binary, data binary")
-    dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
+    coded = encoded.mapInArrow(run, "shard int, doc_id long, n long, crc long, control binary, data binary, lot long")
+    dealt = coded.repartitionById(len(bounds[0]) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", "lot")
     manifest = scratch.keep(dealt.mapInArrow(put, "shard int, path string, n_docs long, n_tokens long"), "manifest")
     scratch.drop("encoded")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file

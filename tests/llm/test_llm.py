@@ -269,6 +269,24 @@ def test_op3(spark, texts, shard):
         at += len(ids)
 
 
+def test_shards_have_about_equal_bytes(spark):
+    """Long documents, and one doc_id with most rows, equal ones among them: shards of bounded size, rows in order."""
+    rows = [(i, f"word{i} " * (4000 if i % 50 == 7 else 5)) for i in range(300)] + [(100, f"copy {i % 300}") for i in range(3000)] + [(None, "no id")] * 40
+    path = P.path("byte_bpe_50k.json")
+    manifest = tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, shard_bytes=8192)
+    sizes = [r["n_tokens"] for r in manifest.collect()]
+    assert len(sizes) > 6 and max(sizes) < 3 * 4096 + 12_000  # a long document alone has 12,000 ids
+    out = tokenfiles.read(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None] * 40 + sorted(r[0] for r in rows if r[0] is not None)
+    at = 0
+    for r in out:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    t = library("byte_bpe_50k.json")
+    want = Counter((d, crc(t.encode(x, add_special_tokens=False).ids + [0])) for d, x in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in out) == want
+
+
 def test_token_files_odd_rows(spark, odd):
     t = library("byte_bpe_50k.json")
     rows = tokenfiles.read(tokenfiles.write(odd, P.path("byte_bpe_50k.json")), with_ids=True).orderBy("start").collect()
