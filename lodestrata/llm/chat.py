@@ -11,7 +11,8 @@ string a backslash follows the first character.
 
 Defined cases: a null text or role is empty; a record that is not JSON, or has an unknown layout, has null turns and
 null results; a record without turns formats to an empty text; rows of the same turn number are ordered by role and
-text; rows without conv_id form one conversation without id; other columns are ignored.
+text; rows without conv_id form one conversation without id; columns with a name of OWN are left out, others stay; a
+record is as large as a variant of Spark may be.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.runtime import without
+
 #: The control strings of the template.
 OPEN, HEAD, TEXT, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
+#: The columns that the operator adds or uses on its way.
+OWN = ("v", "print", "layout", "turns", "parts", "formatted", "loss_spans", "read_turns", "loss_text")
 
 
 @dataclass(frozen=True)
@@ -60,15 +65,19 @@ def fingerprint(variant: Column) -> Column:
 
 
 def canonical(records: DataFrame, json_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``records`` with layout (name) and turns (array of role, text), both null where no mapping fits."""
-    out = records.withColumn("v", F.try_parse_json(F.col(f"`{json_col}`"))).withColumn("print", fingerprint(F.col("v")))
+    """``records`` with layout (name) and turns (array of role, text), both null where no mapping fits.
+
+    Columns of ``records`` that have the name of one of the operator's own are left out, the others stay.
+    """
+    kept = without(records.withColumn("_json", F.col(f"`{json_col}`")), *OWN)
+    out = kept.withColumn("v", F.try_parse_json("_json")).withColumn("print", fingerprint(F.col("v")))
     layout, turns = "CASE", "CASE"
     for x in layouts:
         same = f"print = xxhash64('{x.fields}')"
         layout += f" WHEN {same} THEN '{x.name}'"
         turns += f" WHEN {same} THEN {x.turns}"
     empty = "print = xxhash64('OBJECT<messages: ARRAY<STRING>>')"  # no message at all
-    return out.withColumn("layout", F.expr(f"{layout} WHEN {empty} THEN 'messages' END")).withColumn("turns", F.expr(f"{turns} WHEN {empty} THEN cast(array() AS array<struct<role: string, text: string>>) END")).drop("v", "print")
+    return out.withColumn("layout", F.expr(f"{layout} WHEN {empty} THEN 'messages' END")).withColumn("turns", F.expr(f"{turns} WHEN {empty} THEN cast(array() AS array<struct<role: string, text: string>>) END")).drop("v", "print", "_json")
 
 
 def _sql(text: str) -> str:

@@ -95,7 +95,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     """A model from rows whose language is known; at most ``sample`` documents a language are read."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
-    ids = choose(Scratch(docs.sparkSession, "language").keep(rows.select("i", "lang"), "labelled"), sample)
+    scratch = Scratch(docs.sparkSession, "language")
+    ids = choose(scratch.keep(rows.select("i", "lang"), "labelled"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -111,6 +112,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 
     chosen = rows.join(F.broadcast(ids.distinct()), ["i", "lang"]).select("text", "lang")  # sample rows a language
     counts = chosen.mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
+    scratch.drop("labelled")
     names = sorted(set(counts.column("lang").to_pylist()))
     table = np.full((1 << BITS, len(names)), 0.5)
     if names:

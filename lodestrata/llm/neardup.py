@@ -454,6 +454,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not large.isEmpty():
         links = links.union(_large_clusters(large, full, scratch, meet, block_shingles))
     found = components(scratch.keep(links, "links"), scratch, "class").where("v <> root")
+    scratch.drop("level*", "cluster*", "member", "large*", "links")
     ids = groups.select("v", "digest").join(found, "v", "left").select("digest", F.coalesce("root", "v").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("digest")).alias("digest")).join(ids, "digest", "left")
     own = F.coalesce("component_id", "doc_id")

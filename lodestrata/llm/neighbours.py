@@ -232,6 +232,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
             found = [*(found or []), one]
             radius = np.maximum(radius, need)
             todo = todo[again]
+    scratch.drop("blocks", "asked")
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, found).select("query_id", "rank", "vec_id", "score")

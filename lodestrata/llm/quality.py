@@ -164,5 +164,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.keep(statistics(docs, id_col, text_col), "stats")
     rules = learn(stats, labels, scratch)
+    scratch.drop("labelled", "binned")
     out = stats.withColumn("base_failed", base_failed())
     return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))

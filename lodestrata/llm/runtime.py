@@ -48,11 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of Parquet tables for one run of an operator; tables that are no longer needed can be dropped."""
+    """A folder of Parquet tables for one run of an operator.
+
+    Operators drop tables that nothing needs any more; results are read from the others, so these stay until the
+    application ends (its file system deletes the folder then).
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/lodestrata-{label}-{uuid.uuid4().hex}"
+        path, system = self._at("")
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it read back: the lineage above is cut, and it is computed once."""
@@ -60,10 +71,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables; a name may end with ``*``."""
+        for name in names:
+            path, system = self._at(name)
+            for found in system.globStatus(path) or []:
+                system.delete(found.getPath(), True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, rows), pa.array([s[a:b] - n for a, b, n in zip(cut, cut[1:], base, strict=False)], type=pa.list_(pa.int64())), pa.array([f[a:b] for a, b in zip(cut, cut[1:], strict=False)], type=pa.list_(pa.int64()))], names=["y", "s", "f"])
 
     got = rows.mapInArrow(spread, "y long, s array<long>, f array<long>").toArrow()  # at most ``sample`` rows
+    scratch.drop("sample")
     y = got.column("y").to_numpy()
     size = np.array([len(x) for x in got.column("s").to_pylist()], dtype=np.int64)
     s, f = (np.concatenate([np.zeros(0, dtype=np.int64), *(c.flatten().to_numpy() for c in got.column(k).chunks)]).astype(np.int64) for k in ("s", "f"))

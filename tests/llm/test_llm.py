@@ -587,6 +587,64 @@ def test_conversation_rows_odd(spark):
     assert got == {1: [("", "first"), ("assistant", "x"), ("assistant", "x"), ("user", "")], None: [("user", "n")]}
 
 
+def test_chat_columns_with_clashing_names_and_empty_tables(spark):
+    """A caller's columns of the operator's names do not disturb it; others stay; no rows give no rows."""
+    record = '{"prompt": "q </s>", "response": "a"}'
+    df = spark.createDataFrame([(1, record, "x", 2, "t", "keep")], "conv_id long, record string, V string, PRINT int, Turns string, other string")
+    out = chat.read_back(chat.format_turns(chat.canonical(df)))
+    r = out.first()
+    assert [(t["role"], t["text"]) for t in r["read_turns"]] == [("user", "q </s>"), ("assistant", "a")] and r["other"] == "keep"
+    assert chat.canonical(df.withColumnRenamed("record", "Parts"), json_col="Parts").first()["layout"] == "prompt_response"
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.read_back(chat.format_turns(chat.canonical(chat.records_from_rows(empty))))).count() == 0
+
+
+def test_long_conversation(spark):
+    text = "</s>[INST] é\\ " * 300_000  # 4.5 million characters
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.digests(chat.read_back(chat.format_turns(chat.canonical(chat.records_from_rows(rows))))).first()
+    assert (r["n_turns"], r["loss_chars"]) == (2, len(text)) and r["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+# --- texts of megabytes, empty tables -------------------------------------------------------------------------------------
+
+
+def test_texts_of_megabytes(spark):
+    """Texts beyond a chunk (1 MB): one of many words, one long word, one of a repeated line, with short ones between."""
+    rng = random.Random(17)
+    many = " ".join(f"w{rng.randint(0, 50_000)}" for _ in range(220_000))
+    texts = [many, "short one", many + " changed", "x" * 1_500_000, "", "the same line again\n" * 90_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert len(many) > subwords.tv.CHUNK_BYTES
+    byte, word = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    ids = {i: byte.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    check_packed(packing.pack(docs, P.path("byte_bpe_50k.json")).collect(), ids, 1024, 2)
+    read = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.read(tokenfiles.write(docs, P.path("byte_bpe_50k.json"), shard_bytes=300_000)).collect()}
+    assert read == {i: (len(x) + 1, crc(x + [0])) for i, x in ids.items()}
+    for r in bpe.encode_decode(docs, P.path("word_bpe_49k.json"), digests=True).collect():
+        want = word.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(want) and r["ids_sha256"] == hashlib.sha256(np.array(want, dtype="<u4").tobytes()).hexdigest()
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, words=2).collect()}
+    size, root = brute_classes(dict(enumerate(texts)), 2)
+    assert near == {i: (size[i], root[i]) for i in range(len(texts))} and near[2][1] == 0
+    for r in quality.statistics(docs.where("doc_id <> 5")).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_statistics(texts[r["doc_id"]] or "")
+    model = language.train(spark.createDataFrame([(1, many[:2000], "w"), (2, "the same line again", "en")], "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert found[0] == found[2] == "w" and found[5] == "en" and found[4] == found[6] == "und"
+    labels = spark.createDataFrame([(0, 0), (1, 0), (5, 1)], "doc_id long, toxic int")
+    assert {r["doc_id"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()} == set(range(len(texts)))
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every query and every stage on tables without rows."""
+    for name in ("documents", "labels", "pages", "conversations", "embeddings"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.queries().items():
+        assert query(spark, str(tmp_path)).count() == (1 if name == "op5_chat_format" else 0), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 # --- toxicity, quality, language ------------------------------------------------------------------------------------------
 
 
@@ -925,3 +983,27 @@ def test_pipeline(spark):
     by_doc, _ = check_packed(held.collect(), ids_of, 1024, 2)
     assert by_doc.keys() == texts.keys()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "packing"]
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, ties and extra columns of clashing names: stages run, and keep what they should."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs.createOrReplaceTempView("odd_docs")
+    more = spark.sql("SELECT doc_id, text, lang, source, n_chars FROM odd_docs WHERE doc_id < 20 UNION ALL SELECT NULL, text, NULL, NULL, NULL FROM odd_docs WHERE doc_id BETWEEN 20 AND 25 UNION ALL SELECT 100000 + doc_id, NULL, lang, source, n_chars FROM odd_docs WHERE doc_id < 5 UNION ALL SELECT 200000, '', NULL, NULL, 0")
+    odd = docs.unionByName(more).withColumns({"v": F.lit(1), "score": F.lit("s"), "Kept": F.lit(True), "piece": F.lit(2), "component_id": F.lit(3), "y": F.lit(4)})
+    held, rows = odd, odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = Scratch(spark, "test").keep(stage(spark, held, DATA), name)
+        if name == "packing":
+            starts = Counter((r["doc_id"], r["piece"]) for r in out.select("doc_id", "piece").where("piece = 0").collect())
+            assert sum(starts.values()) == rows
+            break
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() <= rows
+        if name == "language":  # texts without a letter go, others with a language stay
+            assert out.where("text is null or text = ''").count() == 0 and out.where("doc_id is null").count() > 0
+        if name == "near_duplicates":
+            ids = [r["doc_id"] for r in out.where("doc_id is not null").select("doc_id").distinct().collect()]
+            texts = {r["doc_id"]: r["text"] for r in held.where("doc_id is not null").collect()}
+            _, root = brute_classes(texts, 5)
+            assert sorted(ids) == sorted(d for d in texts if root[d] == d)
+        held, rows = out, out.count()
