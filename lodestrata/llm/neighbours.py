@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.llm import textvec as tv
 from lodestrata.llm.runtime import Scratch, ship
 
 SAMPLE, BLOCK_ROWS, BLOCK_BYTES, QUERY_BYTES = 4000, 16_384, 16 << 20, 16 << 20
@@ -121,8 +122,6 @@ def fit(sample: np.ndarray, k: int, rounds: int = 25, seed: int = 7) -> Index:
 class Tables:
     """One block of the index: a sorted table for each substring (``order``: rows by value, one row a substring)."""
 
-    near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
-
     def __init__(self, codes: np.ndarray, order: np.ndarray | None = None) -> None:
         self.codes = codes
         self.order = np.stack([np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]).astype(np.int32) if order is None else order
@@ -135,14 +134,25 @@ class Tables:
             rows = np.arange(len(self.codes))
         else:
             hit = np.zeros(len(self.codes), dtype=bool)
-            for j, value in enumerate(code):
-                start, order = self.start[j], self.order[j]
-                for v in np.flatnonzero(self.near[value] <= each):
-                    hit[order[start[v] : start[v + 1]]] = True
+            values = _values(each)[code]
+            for order, start, v in zip(self.order, self.start, values, strict=True):
+                hit[order[tv.gather(start[v], start[v + 1] - start[v])]] = True
             rows = np.flatnonzero(hit)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64) <= radius]
 
 
+_probes: dict[int, np.ndarray] = {}
+
+
+def _values(each: int) -> np.ndarray:
+    """Of each value of a substring the values that differ in ``each`` bits at most (a row a value)."""
+    if each not in _probes:
+        byte = np.arange(256, dtype=np.uint8)
+        near = np.bitwise_count(byte[:, None] ^ byte[None, :]) <= each
+        _probes[each] = np.nonzero(near)[1].reshape(256, -1)
+    return _probes[each]
+
+
 def _dense(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
@@ -262,11 +272,11 @@ def _probe(held, k: int):
                     near = near[ids[near] != query_ids[i]]
                     if not len(near):
                         continue
-                    score = x[near] @ query_x[i] / (length[near] * norm[i])
-                    if len(near) > k:
-                        least = np.partition(score, len(score) - k)[len(score) - k]
-                        tied = score >= least
-                        near, score = near[tied], score[tied]
+                    if len(near) > k:  # first by a product whose last digits depend on a row's place, with room for them
+                        rough = ((x @ query_x[i])[near] if 8 * len(near) > len(x) else x[near] @ query_x[i]) / length[near]
+                        least = np.partition(rough, len(rough) - k)[len(rough) - k]
+                        near = near[rough >= least - 1e-12 * norm[i]]
+                    score = (x[near] * query_x[i]).sum(axis=1) / (length[near] * norm[i])
                     order = np.lexsort((ids[near], -score))[:k]
                     out.append((np.full(len(order), number[i]), np.full(len(order), query_ids[i]), ids[near[order]], score[order]))
                 if out:
