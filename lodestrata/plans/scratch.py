@@ -23,11 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Tables:
-    """A folder of Parquet tables for one run; a table survives the loss of any executor and cuts the lineage."""
+    """A folder of Parquet tables for one run; a table survives the loss of any executor and cuts the lineage.
+
+    Results are read from it, so it stays until the application ends: its file system deletes it then.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/lodestrata-{label}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it read back."""
