@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,9 +124,19 @@ def _marked(tag: str, names: list[str], roles: list[str]) -> int:
     return max(map(judge, names), default=0)
 
 
-def _path(above: int, tag: str, classes: list[str]) -> int:
-    """Hash of a path one step further: the tag, and its classes with digits folded."""
-    step = ".".join([tag, *sorted({_DIGITS.sub("#", n) for n in classes})]).encode()
+@lru_cache(maxsize=1 << 16)
+def _described(tag: str, attributes: str) -> tuple[bytes, int]:
+    """The step of a path that an element makes (its tag, and its classes with digits folded), and how it is marked."""
+    found: dict[str, list[str]] = {"class": [], "id": [], "role": []}
+    for a in _ATTRIBUTE.finditer(attributes):
+        found[a[1].lower()].extend((a[2] or a[3] or a[4] or "").split())
+    step = ".".join([tag, *sorted({_DIGITS.sub("#", n) for n in found["class"]})]).encode()
+    return step, _marked(tag, found["class"] + found["id"], found["role"])
+
+
+@lru_cache(maxsize=1 << 16)
+def _path(above: int, step: bytes) -> int:
+    """Hash of a path one step further."""
     low = zlib.crc32(step, above & 0xFFFFFFFF)
     return zlib.crc32(step[::-1], (above >> 32) ^ low) << 32 | low
 
@@ -139,7 +150,7 @@ def read(page: str, wanted: int | None = None) -> tuple[list[tuple[Node, str, in
     parts: list[str] = []
     links = linked = 0
     at, end = 0, len(page)
-    closed = {m[1].lower(): m.start() for m in _CLOSING.finditer(page)}  # where each such element is closed last
+    closed: dict[str, int] | None = None  # where each hidden element is closed last
 
     def flush() -> None:
         nonlocal linked
@@ -207,6 +218,8 @@ def read(page: str, wanted: int | None = None) -> tuple[list[tuple[Node, str, in
             links += 1
             continue
         if tag in HIDDEN:
+            if closed is None:
+                closed = {x[1].lower(): x.start() for x in _CLOSING.finditer(page)}
             if not m[3].endswith("/>") and closed.get(tag, -1) >= at:
                 push(tag, top.path, True, False, False)
             continue
@@ -229,14 +242,9 @@ def read(page: str, wanted: int | None = None) -> tuple[list[tuple[Node, str, in
                         cut(k)
                         break
         top = stack[-1]
-        classes: list[str] = []
-        ids: list[str] = []
-        roles: list[str] = []
-        for a in _ATTRIBUTE.finditer(m[3]):
-            {"class": classes, "id": ids, "role": roles}[a[1].lower()].extend((a[2] or a[3] or a[4] or "").split())
-        mark = _marked(tag, classes + ids, roles)
+        step, mark = _described(tag, m[3])
         out = top.out or tag in BOILERPLATE or (tag == "header" and not top.inside) or mark == 2
-        push(tag, _path(top.path, tag, classes), out, tag in CONTAINER, mark == 1 and not out)
+        push(tag, _path(top.path, step), out, tag in CONTAINER, mark == 1 and not out)
     flush()
     for node, text, of in blocks:
         d = node.doubt
