@@ -753,6 +753,29 @@ def test_op7(spark, texts, odd):
     assert quality.judge(odd, spark.createDataFrame([], "doc_id long, quality int")).where("kept = (not base_failed)").count() == len(ODD) + 2
 
 
+def test_kept_is_the_ordered_list_on_plain_statistics(spark):
+    """The learned rules, applied in order by plain Python to plainly counted statistics, give ``kept``; they fit the labels."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality.learn(Scratch(spark, "test").keep(quality.statistics(docs), "stats"), labels, Scratch(spark, "test"))
+    assert rules
+    body = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    quality_of = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    wrong = judged = 0
+    for r in queries.op7_quality_rules(spark, data).collect():
+        x = body[r["doc_id"]]
+        n, chars, symbols, dup, repeat = brute_statistics(x)
+        words, lines = WORD.findall(x), [y for y in x.split("\n") if WORD.search(y)]
+        want = not r["base_failed"]
+        if want:
+            value = {"mean_word_chars": chars / n, "symbols_per_word": symbols / n, "dup_lines_per_line": dup / len(lines), "repeat_words_per_word": repeat / n, "distinct_per_word": len(set(words)) / n, "words_per_line": n / len(lines), "digits_per_word": sum(c in "0123456789" for c in x) / n, "n_words": n}
+            want = not any(all((value[c.feature] > c.cut) == c.above for c in rule) for rule in rules)
+            if quality_of.get(r["doc_id"]) is not None:
+                judged, wrong = judged + 1, wrong + (want != bool(quality_of[r["doc_id"]]))
+        assert r["kept"] == want
+    assert judged > 200 and wrong <= 0.02 * judged
+
+
 def test_decision_list_learns_a_conjunction(spark):
     rng = random.Random(10)
     rows, labels = [], []
@@ -1007,3 +1030,18 @@ def test_pipeline_stages_with_odd_rows(spark, tmp_path):
             _, root = brute_classes(texts, 5)
             assert sorted(ids) == sorted(d for d in texts if root[d] == d)
         held, rows = out, out.count()
+
+
+def test_pipeline_decisions_by_plain_python(spark):
+    """What the first two stages keep, document by document: noisy-or below the threshold, then a proportion of 0.4."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars < 2500")
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"), use=~toxicity.held_out())
+    clean = corpus_pipeline.drop_toxic(spark, docs, DATA)
+    kept = {r["doc_id"] for r in clean.collect()}
+    assert kept == {d for d, s in zip(rows, plain_scores(model, rows.values()), strict=True) if s < toxicity.THRESHOLD}
+    words = language.train(clean.where(language.teaching()))
+    out = {r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, clean, DATA).collect()}
+    sample = sorted(kept)[:60]
+    known = {d for d in sample if any(c.isalpha() for c in rows[d]) and len(rows[d].encode()) > 2}
+    assert out & set(sample) == {d for d in known if max(plain_mixture(words, rows[d], language.LEAST)) >= corpus_pipeline.LEAST_SHARE}
