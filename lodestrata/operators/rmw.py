@@ -6,21 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.plans import ranged
 from lodestrata.plans.folds import fold
 
 
-def _ordered() -> Window:
-    return Window.partitionBy("key").orderBy("seq", "ord")
-
-
 def getset(log: DataFrame) -> DataFrame:
-    """What each write found: the value before it (null if absent or deleted)."""
-    return log.select("seq", "key", F.lag("value").over(_ordered()).alias("old_value"))
+    """What each write found: the value before it (null if absent or deleted); one operation a commit and key."""
+    return ranged.lagged(log.select("seq", "key", "value"), ["key"], "seq", "old_value", "value").select("seq", "key", "old_value")
 
 
 def getdel(log: DataFrame) -> DataFrame:
     """What each delete removed."""
-    return log.select("seq", "key", "op", F.lag("value").over(_ordered()).alias("old_value")).where("op = 'D'").drop("op")
+    return ranged.lagged(log.select("seq", "key", "op", "value"), ["key"], "seq", "old_value", "value").where("op = 'D'").select("seq", "key", "old_value")
 
 
 def conditional(ops: DataFrame) -> DataFrame:
@@ -40,8 +37,7 @@ def conditional(ops: DataFrame) -> DataFrame:
 
 def running(log: DataFrame, amount: Column, how: str) -> DataFrame:
     """State after every operation of a counter (sum), a running maximum or minimum."""
-    window = _ordered().rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("seq", "key", getattr(F, how)(amount).over(window).alias("state"))
+    return ranged.running(log.select("seq", "key", amount.alias("amount")), ["key"], "seq", "state", how, F.col("amount")).select("seq", "key", "state")
 
 
 def appended(log: DataFrame, separator: str = ",", span: int = 1 << 16) -> DataFrame:

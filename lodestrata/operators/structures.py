@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.plans import ranged
 from lodestrata.plans.folds import fold, previous, since_reset
 from lodestrata.plans.scratch import Tables
 
@@ -41,7 +42,7 @@ def _by_rank(reverse: bool = False) -> Window:
 
 
 def lb_rank(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("place", F.row_number().over(_by_rank()))
+    return ranged.ranked(scores, "board", "place", F.desc("score"), F.asc("member"))
 
 
 def lb_top(scores: DataFrame, n: int, bottom: bool = False) -> DataFrame:
@@ -190,23 +191,22 @@ def queue_after(ops: DataFrame) -> DataFrame:
     A pop of an empty queue takes nothing: with s the pushes less the pops so far and m the least s so far (0 at most),
     m pops were in vain, so as many items are gone as there were pops less those.
     """
-    run = Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("op") == "push", 1).otherwise(-1)
-    level = ops.withColumn("s", F.sum(step).over(run))
-    taken = level.groupBy("name").agg((F.count_if(F.col("op") == "pop") + F.least(F.min("s"), F.lit(0))).alias("taken"))
-    pushed = ops.where("op = 'push'").withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("seq")))
+    pushes = F.col("op") == "push"
+    level = ranged.running(ops, ["name"], "seq", "s", "sum", F.when(pushes, 1).otherwise(-1))
+    taken = level.groupBy("name").agg((F.count_if(~pushes) + F.least(F.min("s"), F.lit(0))).alias("taken"))
+    pushed = ranged.running(ops.where(pushes), ["name"], "seq", "place", "sum", F.lit(1))
     return pushed.join(taken, "name").where("place > taken").select("name", (F.col("place") - F.col("taken")).cast("int").alias("place"), "seq", "item")
 
 
 def queue_pops(ops: DataFrame) -> DataFrame:
     """What each pop of ops(name, seq, op, item) took: null from an empty queue."""
-    run = Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("op") == "push", 1).otherwise(-1)
-    level = ops.withColumn("s", F.sum(step).over(run))
-    level = level.withColumn("least", F.least(F.coalesce(F.min("s").over(before), F.lit(0)), F.lit(0))).withColumn("pops", F.count_if(F.col("op") == "pop").over(run))
-    pops = level.where("op = 'pop'").withColumn("place", F.when(F.col("s") >= F.col("least"), F.col("pops") + F.col("least")))
-    pushed = ops.where("op = 'push'").select("name", F.row_number().over(Window.partitionBy("name").orderBy("seq")).alias("place"), "item")
+    pushes = F.col("op") == "push"
+    level = ranged.running(ops, ["name"], "seq", "s", "sum", F.when(pushes, 1).otherwise(-1))
+    level = ranged.running(level, ["name"], "seq", "least", "min", F.col("s"), upto=-1)
+    level = ranged.running(level, ["name"], "seq", "pops", "sum", F.when(pushes, 0).otherwise(1))
+    least = F.least(F.coalesce("least", F.lit(0)), F.lit(0))
+    pops = level.where(~pushes).withColumn("place", F.when(F.col("s") >= least, F.col("pops") + least))
+    pushed = ranged.running(ops.where(pushes), ["name"], "seq", "place", "sum", F.lit(1)).select("name", "place", "item")
     return pops.select("name", "seq", "place").join(pushed, ["name", "place"], "left").select("name", "seq", "item")
 
 

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lodestrata.plans import ranged
 
 
 def fold(ops: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...], start: Callable[[], object], step: Callable[..., object], every: str | None = None, last: str | None = None, finish: Callable[[object], tuple] | None = None) -> DataFrame:
@@ -80,4 +81,4 @@ def current(ops: DataFrame, item: list[str], order: str, scope: list[str] | None
 
 def previous(ops: DataFrame, item: list[str], order: str, value: str) -> DataFrame:
     """``ops`` with ``before``: the ``value`` of the item's previous row."""
-    return ops.withColumn("before", F.lag(value).over(Window.partitionBy(*item).orderBy(order)))
+    return ranged.lagged(ops, item, order, "before", value)

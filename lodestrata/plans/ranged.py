@@ -62,3 +62,58 @@ def running_max(rows: DataFrame, at: str, value: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     near = _carried(dealt.withColumn("reached", F.max(value).over(inside)), dealt, F.col(value), "max", True)
     return near.withColumn("reached", F.greatest("reached", "carried")).drop("part", "carried")
+
+
+# --- along the order of each key ------------------------------------------------------------------------------------------------
+#: Rows of one key that a single window may get; keys with more are cut into spans of their order.
+HOT_ROWS = 2_000_000
+
+
+def largest(rows: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: one row a key leaves a task."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _spans(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return rows.withColumn("_span", F.floor(F.col(order) / HOT_ROWS))
+
+
+def running(rows: DataFrame, keys: list[str], order: str, name: str, how: str, value: Column, upto: int = 0) -> DataFrame:
+    """``rows`` with ``name``: the sum, min or max of ``value`` over a key's rows up to this one (``upto`` -1: before it).
+
+    ``order`` is a whole number that no two rows of a key share.  A hot key's spans are summed by themselves, and what
+    is before a span is added from one row a span.
+    """
+    agg = getattr(F, how)
+    if largest(rows, keys) <= HOT_ROWS:
+        return rows.withColumn(name, agg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)))
+    cut = _spans(rows, keys, order)
+    inner = cut.withColumn("_in", agg(value).over(Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, upto)))
+    ends = cut.groupBy(*keys, "_span").agg(agg(value).alias("_x"))
+    before = ends.select(*keys, "_span", agg("_x").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    both = {"sum": F.when(F.coalesce("_before", "_in").isNotNull(), F.coalesce("_before", F.lit(0)) + F.coalesce("_in", F.lit(0))), "min": F.least("_before", "_in"), "max": F.greatest("_before", "_in")}[how]
+    return inner.join(before, [*keys, "_span"]).withColumn(name, both).drop("_span", "_in", "_before")
+
+
+def lagged(rows: DataFrame, keys: list[str], order: str, name: str, value: str) -> DataFrame:
+    """``rows`` with ``name``: the ``value`` of the key's row before; hot keys are cut into spans as in ``running``."""
+    if largest(rows, keys) <= HOT_ROWS:
+        return rows.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+    cut = _spans(rows, keys, order)
+    held = F.struct(F.col(value).alias("x"))
+    inner = cut.withColumn("_in", F.lag(held).over(Window.partitionBy(*keys, "_span").orderBy(order)))
+    ends = cut.groupBy(*keys, "_span").agg(F.max_by(held, order).alias("_last"))
+    before = ends.select(*keys, "_span", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_span")).alias("_before"))
+    return inner.join(before, [*keys, "_span"]).withColumn(name, F.coalesce("_in", "_before")["x"]).drop("_span", "_in", "_before")
+
+
+def ranked(rows: DataFrame, group: str, name: str, *order: Column) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... in the order of each group; a group with many rows is ranked by ranges."""
+    if largest(rows, [group]) <= HOT_ROWS:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranged = rows.repartitionByRange(F.col(group), *order).withColumn("part", F.spark_partition_id())
+    dealt = Tables(rows.sparkSession, "ranged").keep(ranged, "dealt")
+    inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("part", group).orderBy(*order)))
+    ends = dealt.groupBy(group, "part").agg(F.count(F.lit(1)).alias("_n"))
+    before = ends.select(group, "part", F.sum("_n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return inner.join(before, [group, "part"]).withColumn(name, (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("int")).drop("part", "_in", "_before")

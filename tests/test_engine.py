@@ -158,6 +158,26 @@ def test_ranged_orders(spark):
     assert scan.is_empty(df.where("false")).first()[0] and not scan.is_empty(df).first()[0]
 
 
+def test_hot_keys_are_cut_into_spans(spark, monkeypatch):
+    """With small spans the same rows as with one window a key: lags, running values, ranks, queues."""
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 9)}", i * 3, rng.choice(["push", "pop"]), rng.choice([None, *range(9)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "name string, seq long, op string, item long").repartition(5)
+
+    def all_of():
+        out = [pairs_(ranged.lagged(df, ["name"], "seq", "old", "item"))]
+        out += [pairs_(ranged.running(df, ["name"], "seq", "x", how, F.col("item"), upto)) for how in ("sum", "min", "max") for upto in (0, -1)]
+        out += [pairs_(ranged.ranked(df, "name", "r", F.desc("item"), F.asc("seq"))), pairs_(st.queue_after(df)), pairs_(st.queue_pops(df))]
+        return out
+
+    def pairs_(x):
+        return sorted(repr({c: r[c] for c in sorted(x.columns)}) for r in x.collect())
+
+    want = all_of()
+    monkeypatch.setattr(ranged, "HOT_ROWS", 16)
+    assert all_of() == want
+
+
 def test_overlapping_files(spark):
     rng = random.Random(5)
 
