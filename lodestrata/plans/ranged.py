@@ -64,6 +64,12 @@ def running_max(rows: DataFrame, at: str, value: str) -> DataFrame:
     return near.withColumn("reached", F.greatest("reached", "carried")).drop("part", "carried")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores if a small input has fewer; larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- along the order of each key ------------------------------------------------------------------------------------------------
 #: Rows of one key that a single window may get; keys with more are cut into spans of their order.
 HOT_ROWS = 2_000_000
