@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,21 +124,101 @@ def drain_by_priority(rows: DataFrame, n: int) -> DataFrame:
 
 
 # operations on structures: ops(..., op, seq); their states
+#: Points of a run of taken times that a task holds at once; a run with more is cut by ``seq`` into up to ``CHUNKS`` chunks.
+HELD_POINTS, CHUNKS = 250_000, 64
+
+
 def bumped(points: DataFrame) -> DataFrame:
     """Points points(series, ts_us, seq, value) added one by one: a time that is taken moves on by microseconds.
 
-    At each time the earliest addition stays; one with r earlier ones there moves r on, as those fill r times at least.
-    Rounds are written; a round moves whole groups, so there are few.
+    Equally, from the first time on: of the points that have come as far as a time the earliest addition stays, the
+    others move on.  Which times are taken in the end follows from counts alone; each run of them is filled by itself.
+    A run of many points is cut by ``seq``: later additions never move earlier ones, so a chunk is filled around the
+    times that the counts of earlier chunks take.  A point without a time stays as it is.
     """
     tables = Tables(points.sparkSession, "bumped")
-    now, n = tables.keep(points.select("series", F.col("ts_us").cast("long").alias("ts_us"), "seq", "value"), "round0"), 0
-    while True:
-        place = F.row_number().over(Window.partitionBy("series", "ts_us").orderBy("seq")) - 1
-        n += 1
-        now = tables.keep(now.withColumn("r", place).select("series", (F.col("ts_us") + F.col("r")).alias("ts_us"), "seq", "value", (F.col("r") > 0).alias("moved")), f"round{n}")
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+    points = tables.keep(points.select("series", F.col("ts_us").cast("long").alias("ts_us"), "seq", "value"), "points")
+    runs = tables.keep(_taken_runs(tables.keep(points.where("ts_us is not null").groupBy(F.struct("series").alias("of"), "ts_us").agg(F.count(F.lit(1)).alias("n")), "counts")), "runs")
+    many = tables.keep(runs.groupBy("of", "run").agg(F.sum("n").alias("size")).where(F.col("size") > HELD_POINTS), "many")
+    rows = points.join(runs, F.col("series").eqNullSafe(F.col("of.series")) & (points["ts_us"] == runs["ts_us"]), "left").select("series", "run", points["ts_us"], "seq", "value")
+    if many.isEmpty():
+        return _filled(rows.select("series", "run", F.lit(0).alias("chunk"), "ts_us", "seq", "value", F.lit(None).cast("long").alias("earlier")))
+    rows = tables.keep(rows, "rows")
+    many = many.select("of", F.col("run").alias("cut"), F.least(F.lit(CHUNKS), F.ceil(F.col("size") / HELD_POINTS)).cast("int").alias("chunks"))
+    same = F.col("series").eqNullSafe(F.col("of.series")) & (F.col("run") == F.col("cut"))
+    bounds = F.percentile_approx("seq", [i / CHUNKS for i in range(1, CHUNKS)]).alias("bounds")
+    cuts = tables.keep(rows.join(F.broadcast(many), same).groupBy("of", "cut", "chunks").agg(bounds), "cuts")
+    chunk = F.floor(F.size(F.filter("bounds", lambda b: b < F.col("seq"))) * F.col("chunks") / CHUNKS).cast("int")
+    rows = rows.join(F.broadcast(cuts), same, "left").select("series", "run", F.when(F.col("chunks").isNull(), 0).otherwise(chunk).alias("chunk"), "ts_us", "seq", "value", "chunks")
+    counts = rows.where("chunks is not null").groupBy("series", "run", "chunk", "ts_us", "chunks").agg(F.count(F.lit(1)).alias("n")).where("chunk + 1 < chunks")
+    earlier = counts.select("series", "run", F.explode(F.expr("sequence(chunk + 1, chunks - 1)")).alias("chunk"), "ts_us", "n").groupBy("series", "run", "chunk", "ts_us").agg(F.sum("n").alias("earlier"))
+    return _filled(rows.drop("chunks").unionByName(earlier, allowMissingColumns=True))
+
+
+def _taken_runs(counts: DataFrame) -> DataFrame:
+    """counts(of, ts_us, n) with ``run``: the first of the gapless times that the points at ``ts_us`` come to lie in."""
+    found = ranged.running(counts, ["of"], "ts_us", "before", "sum", F.col("n"), upto=-1)
+    found = found.withColumn("lead", F.col("ts_us") - F.coalesce("before", F.lit(0)))  # earlier points reach to before + the largest lead so far
+    found = ranged.running(found, ["of"], "ts_us", "most", "max", F.col("lead"), upto=-1)
+    first = F.when(F.col("most").isNull() | (F.col("lead") >= F.col("most")), F.col("ts_us"))
+    return ranged.running(found, ["of"], "ts_us", "run", "max", first).select("of", "ts_us", "n", "run")
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """Points rows(series, run, chunk, ts_us, seq, value, earlier) at their times, chunk by chunk; a row with ``earlier``
+    stands for so many points of earlier chunks, which go before all others."""
+    kinds = dict(rows.dtypes)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, before, held, out, types = None, None, 0, [], [], None
+
+        def give() -> Iterator[pa.RecordBatch]:
+            done = [out[i : i + 50_000] for i in range(0, len(out), 50_000)]
+            out.clear()
+            for piece in done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*piece, strict=True), types, strict=True)], names=["series", "ts_us", "seq", "value"])
+
+        def place(upto: int | None) -> None:
+            """Gives the times from ``at`` to ``upto`` (None: all that are needed) to those that wait."""
+            nonlocal at, before
+            skipped = before if upto is None else min(before, upto - at)
+            before, at = before - skipped, at + skipped
+            if upto is None or len(held) <= upto - at:
+                out.extend((now[0], at + i, seq, value) for i, (seq, _, value) in enumerate(sorted(held)))
+                held.clear()
+            else:
+                for i in range(upto - at):
+                    seq, _, value = heapq.heappop(held)
+                    out.append((now[0], at + i, seq, value))
+
+        n = 0
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in (0, 3, 4, 5)]
+            for series, run, chunk, ts, seq, value, earlier in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ts is None:
+                    out.append((series, None, seq, value))
+                    continue
+                if (series, run, chunk) != now:
+                    if now is not None:
+                        place(None)
+                    now, at, before = (series, run, chunk), ts, 0
+                elif ts != at:
+                    place(ts)
+                    at = ts
+                if earlier is not None:
+                    before += earlier
+                else:
+                    n += 1
+                    heapq.heappush(held, (seq, n, value))
+                if len(out) >= 50_000:
+                    yield from give()
+            yield from give()
+        if now is not None:
+            place(None)
+        yield from give()
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("series", "ts_us", "seq", "value"))
+    return rows.repartition("series", "run", "chunk").sortWithinPartitions("series", "run", "chunk", "ts_us").mapInArrow(fill, schema)
 
 
 def added_together(points: DataFrame) -> DataFrame:

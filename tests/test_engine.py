@@ -55,6 +55,43 @@ def test_points_are_bumped_in_order(spark):
     assert pairs(got) == sorted(want)
 
 
+def bumped_one_by_one(points):
+    taken, out = defaultdict(set), []
+    for series, at, seq, value in sorted(points, key=lambda p: p[2]):
+        while at in taken[series]:
+            at += 1
+        taken[series].add(at)
+        out.append((series, at, seq, value))
+    return sorted(map(repr, out))
+
+
+def bumped_by_engine(spark, points):
+    df = spark.createDataFrame(points, "series string, ts_us long, seq long, value double")
+    return sorted(repr(tuple(r)) for r in st.bumped(df).select("series", "ts_us", "seq", "value").collect())
+
+
+def test_points_are_bumped_in_few_jobs(spark):
+    """Points that are crowded into a few times do not move on round by round."""
+    points = [("s", seq * 7919 % 41, seq, float(seq)) for seq in range(3000)]
+    spark.sparkContext.setJobGroup("bumped", "bumped")
+    assert bumped_by_engine(spark, points) == bumped_one_by_one(points)
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bumped")) < 60
+
+
+@pytest.mark.parametrize("held", [3, 40, 100_000])
+def test_points_are_bumped_in_chunks(spark, monkeypatch, held):
+    """Runs of every length, next to each other and apart, cut by seq or whole; no series, no time, negative times."""
+    monkeypatch.setattr(st, "HELD_POINTS", held)
+    rng = random.Random(held)
+    seqs = rng.sample(range(10**9), 1500)
+    points = [(rng.choice("ab"), rng.choice((rng.randrange(-300, 300), 5, rng.randrange(10**6))), seq, float(seq % 7)) for seq in seqs[:1200]]
+    points += [(None, rng.randrange(50), seq, None) for seq in seqs[1200:1450]] + [(rng.choice("ab"), None, seq, 1.0) for seq in seqs[1450:]]
+    got = bumped_by_engine(spark, points)
+    timed = [p for p in points if p[1] is not None]
+    assert got == sorted(bumped_one_by_one(timed) + [repr(p) for p in points if p[1] is None])
+
+
 def test_queues_pop_in_order(spark):
     queue, heap, taken, best = defaultdict(deque), defaultdict(list), [], []
     for r in events():
