@@ -139,10 +139,11 @@ def bumped(points: DataFrame) -> DataFrame:
     tables = Tables(points.sparkSession, "bumped")
     points = tables.keep(points.select("series", F.col("ts_us").cast("long").alias("ts_us"), "seq", "value"), "points")
     runs = tables.keep(_taken_runs(tables.keep(points.where("ts_us is not null").groupBy(F.struct("series").alias("of"), "ts_us").agg(F.count(F.lit(1)).alias("n")), "counts")), "runs")
+    tasks = -(-(runs.agg(F.sum("n")).first()[0] or 0) // (2 * HELD_POINTS))  # else a task's sort grows with the points
     many = tables.keep(runs.groupBy("of", "run").agg(F.sum("n").alias("size")).where(F.col("size") > HELD_POINTS), "many")
     rows = points.join(runs, F.col("series").eqNullSafe(F.col("of.series")) & (points["ts_us"] == runs["ts_us"]), "left").select("series", "run", points["ts_us"], "seq", "value")
     if many.isEmpty():
-        return _filled(rows.select("series", "run", F.lit(0).alias("chunk"), "ts_us", "seq", "value", F.lit(None).cast("long").alias("earlier")))
+        return _filled(rows.select("series", "run", F.lit(0).alias("chunk"), "ts_us", "seq", "value", F.lit(None).cast("long").alias("earlier")), tasks)
     rows = tables.keep(rows, "rows")
     many = many.select("of", F.col("run").alias("cut"), F.least(F.lit(CHUNKS), F.ceil(F.col("size") / HELD_POINTS)).cast("int").alias("chunks"))
     same = F.col("series").eqNullSafe(F.col("of.series")) & (F.col("run") == F.col("cut"))
@@ -152,7 +153,7 @@ def bumped(points: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(cuts), same, "left").select("series", "run", F.when(F.col("chunks").isNull(), 0).otherwise(chunk).alias("chunk"), "ts_us", "seq", "value", "chunks")
     counts = rows.where("chunks is not null").groupBy("series", "run", "chunk", "ts_us", "chunks").agg(F.count(F.lit(1)).alias("n")).where("chunk + 1 < chunks")
     earlier = counts.select("series", "run", F.explode(F.expr("sequence(chunk + 1, chunks - 1)")).alias("chunk"), "ts_us", "n").groupBy("series", "run", "chunk", "ts_us").agg(F.sum("n").alias("earlier"))
-    return _filled(rows.drop("chunks").unionByName(earlier, allowMissingColumns=True))
+    return _filled(rows.drop("chunks").unionByName(earlier, allowMissingColumns=True), tasks)
 
 
 def _taken_runs(counts: DataFrame) -> DataFrame:
@@ -164,10 +165,10 @@ def _taken_runs(counts: DataFrame) -> DataFrame:
     return ranged.running(found, ["of"], "ts_us", "run", "max", first).select("of", "ts_us", "n", "run")
 
 
-def _filled(rows: DataFrame) -> DataFrame:
-    """Points rows(series, run, chunk, ts_us, seq, value, earlier) at their times, chunk by chunk; a row with ``earlier``
-    stands for so many points of earlier chunks, which go before all others."""
-    kinds = dict(rows.dtypes)
+def _filled(rows: DataFrame, tasks: int) -> DataFrame:
+    """Points rows(series, run, chunk, ts_us, seq, value, earlier) at their times, chunk by chunk, in ``tasks`` tasks at least;
+    a row with ``earlier`` stands for so many points of earlier chunks, which go before all others."""
+    kinds, key = dict(rows.dtypes), ("series", "run", "chunk")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at, before, held, out, types = None, None, 0, [], [], None
@@ -218,7 +219,9 @@ def _filled(rows: DataFrame) -> DataFrame:
         yield from give()
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("series", "ts_us", "seq", "value"))
-    return rows.repartition("series", "run", "chunk").sortWithinPartitions("series", "run", "chunk", "ts_us").mapInArrow(fill, schema)
+    few = tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(*key) if few else rows.repartition(tasks, *key)
+    return dealt.sortWithinPartitions(*key, "ts_us").mapInArrow(fill, schema)
 
 
 def added_together(points: DataFrame) -> DataFrame:
